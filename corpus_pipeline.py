@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import exact_dedup, langid, mixing, pieces, store
+from seqloom.llm import exact_dedup, jaccard, langid, mixing, pieces, store
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (operator 9)."""
+    return jaccard.dedup(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of each leaf up to its budget, by epochs (operator 1)."""
     return mixing.mixed(docs)
@@ -27,7 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.tokenized(docs)
 
 
-STAGES = [("language_id", identify), ("exact_dedup", dedup), ("mixing", mix), ("sentencepiece", encode)]
+STAGES = [("language_id", identify), ("exact_dedup", dedup), ("ngram_jaccard", near_dedup), ("mixing", mix), ("sentencepiece", encode)]
 
 #: Language ID and merge-dropout have no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, pieces
+from . import exact_dedup, jaccard, langid, mixing, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.pairs(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op10_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}
