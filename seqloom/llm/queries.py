@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, langid, mixing, pieces
+from . import countmin, euclid, exact_dedup, interpolation, jaccard, langid, mixing, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenized(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return euclid.pairs(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countmin.passages(_table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -36,9 +48,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_language_id": op7_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op4_substring_dedup": countmin.sql(), "op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}
