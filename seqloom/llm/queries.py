@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import countmin, euclid, exact_dedup, fuzzylines, interpolation, jaccard, langid, mixing, pieces
+from . import countmin, euclid, exact_dedup, fuzzylines, interpolation, jaccard, langid, mixing, pieces, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.scores(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -55,10 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_suffix_array": op6_suffix_array,
     "op7_language_id": op7_language_id,
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op4_substring_dedup": countmin.sql(), "op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op4_substring_dedup": countmin.sql(), "op6_suffix_array": countmin.sql(suffixes.LENGTH), "op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}

@@ -8,6 +8,7 @@ a folder of our own made, and then only in local mode.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(written(df, name))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, now rather than at its leisure."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that are no longer needed."""
     jvm = spark.sparkContext._jvm
@@ -65,25 +72,27 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def chunked(df: DataFrame, cols: dict, rows: int = CHUNK_ROWS) -> DataFrame:
-    """``cols`` (name -> Column over df) and ``_sender``, the chunk of each row.
+def chunked(df: DataFrame, cols: dict, rows: int = CHUNK_ROWS, numbered: str | None = None) -> DataFrame:
+    """``cols`` (name -> Column over df) and ``_sender``, the chunk of each row; ``numbered``: a column that is to be the row's number in its file.
 
     A chunk is ``rows`` neighbouring rows of one Parquet file, so its name
     depends on the stored table alone: however a second scan splits the file,
     and whichever executor runs it, a row is in the same chunk. A table that
     isn't a Parquet scan is written to the shared folder first.
     """
-    named = [c.alias(n) for n, c in cols.items()]
+    number = F.col("_metadata.row_index").cast("long").alias(numbered or "_row")
+    named = [c.alias(n) for n, c in cols.items() if n != numbered]
+    own = [number] if numbered else []
     sender = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows)).alias("_sender")
     try:
-        out = df.select(*named, sender)
+        out = df.select(*named, *own, sender)
         out.schema
         return out
     except AnalysisException as e:
         if "_metadata" not in str(e):
             raise
     again = stored(df.select(*named), "rows")
-    return again.select(*cols, sender)
+    return again.select(*[n for n in cols if n != numbered], *own, sender)
 
 
 def by_sender(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
