@@ -24,13 +24,12 @@ stays (null ids last), with all its columns; rows without partner all stay.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exact_dedup, store
@@ -86,10 +85,11 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return store.stored(both.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
 
-def _entries(nodes: DataFrame, n: int, t: float) -> DataFrame:
-    """Prefix entries (gram, node, size, pos) of n-grams that two sets or more hold."""
+def _entries(nodes: DataFrame, n: int, t: float) -> tuple[DataFrame, str]:
+    """Prefix entries (gram, node, size, pos) of n-grams that two sets or more hold, and the table they are read with."""
     _, chars = X.volume(nodes)
-    bits, owners = X.bits_for(chars // 5), X.owners_for(nodes, chars // 5)
+    # a chance equality only keeps an n-gram in the index that could be left out: 8 bits to spare are enough
+    bits, owners = min(62, max(32, (chars // 5).bit_length() + 8)), X.owners_for(nodes, chars // 5)
     rows = store.chunked(nodes, {"node": nodes["node"], "text": F.lower(nodes["text"])}).where("text is not null")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def _entries(nodes: DataFrame, n: int, t: float) -> DataFrame:
 
         return X.sender_batches(batches, one)
 
-    return rows.mapInArrow(indexed, "gram long, node long, size int, pos int")
+    return rows.mapInArrow(indexed, "gram long, node long, size int, pos int"), path
 
 
 def block_pairs(gram: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -217,19 +217,19 @@ def answers(ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, leader: int, pai
     return out
 
 
-def _verified(candidates: DataFrame, nodes: DataFrame, n: int, t: float) -> DataFrame:
-    found = store.stored(candidates, "pairs")
-    other = found.select("a", F.col("b").alias("o")).unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("o")))
-    home = other.groupBy("a").agg(F.least("a", F.min("o")).alias("home"))
-    pairs = store.stored(found.join(home, "a").select("home", "a", "b"), "homes")
+def _verified(found: DataFrame, nodes: DataFrame, n: int, t: float, named: bool) -> DataFrame:
+    """(a, b, jaccard) of candidates that reach the threshold: numbers of nodes or, if named, ids of all their documents."""
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    home = F.least("a", F.min("b").over(Window.partitionBy("a")))
+    pairs = store.stored(both.withColumn("home", home).where("a < b").select("home", "a", "b"), "homes")
     member = pairs.select("home", F.explode(F.array("home", "a", "b")).alias("node")).distinct()
-    texts = nodes.select("node", F.lower("text").alias("text"))
-    ids = pairs.select(F.explode(F.array("home", "a", "b")).alias("node")).distinct()
+    texts = nodes.select("node", F.lower("text").alias("text"), (F.col("docs") if named else F.array("node")).alias("docs"))
+    ids = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if ids.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "node", "left_semi")
     none = F.lit(None)
-    rows = member.join(texts, "node").select("home", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "text")
-    rows = rows.unionByName(pairs.select("home", F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
+    rows = member.join(texts, "node").select("home", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "text", "docs")
+    rows = rows.unionByName(pairs.select("home", F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text"), none.cast("array<long>").alias("docs")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(table: pa.Table) -> pa.RecordBatch:
@@ -237,14 +237,22 @@ def _verified(candidates: DataFrame, nodes: DataFrame, n: int, t: float) -> Data
             a, b = table["a"].to_numpy(), table["b"].fill_null(-1).to_numpy()
             is_set = np.flatnonzero(kind == 0)
             h, bounds = sets(table["text"].take(pa.array(is_set)), n, 62)
-            out: list[tuple[int, int, float]] = []
+            docs = [np.asarray(d, np.int64) for d in table["docs"].take(pa.array(is_set)).to_pylist()]
+            left: list[np.ndarray] = []
+            right: list[np.ndarray] = []
+            value: list[np.ndarray] = []
             cuts = np.append(np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]])), len(homes)).tolist()
             for x, y in zip(cuts, cuts[1:]):
                 lo, hi = np.searchsorted(is_set, [x, y])
                 pairs = list(zip(a[x + hi - lo : y].tolist(), b[x + hi - lo : y].tolist()))
-                out += answers(a[x : x + hi - lo], h, bounds[lo : hi + 1], int(homes[x]), pairs, t)
-            cols = list(zip(*out)) if out else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIMILAR)], schema=_SIMILAR)
+                own = dict(zip(a[x : x + hi - lo].tolist(), docs[lo:hi]))
+                for p, q, j in answers(a[x : x + hi - lo], h, bounds[lo : hi + 1], int(homes[x]), pairs, t):
+                    u, v = own[p], own[q]
+                    left.append(np.repeat(u, len(v)))
+                    right.append(np.tile(v, len(u)))
+                    value.append(np.full(len(u) * len(v), j))
+            cols = [np.concatenate(c) if c else np.zeros(0) for c in (left, right, value)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _SIMILAR)], schema=_SIMILAR)
 
         held: list[pa.Table] = []
         for batch in batches:  # whole homes at a time
@@ -264,24 +272,26 @@ def _verified(candidates: DataFrame, nodes: DataFrame, n: int, t: float) -> Data
     return ready.mapInArrow(verify, "a long, b long, jaccard double")
 
 
-def _similar(nodes: DataFrame, n: int, t: float) -> DataFrame:
-    return _verified(_candidates(_entries(nodes, n, t), t), nodes, n, t)
+def _similar(nodes: DataFrame, n: int, t: float, named: bool) -> DataFrame:
+    entries, used = _entries(nodes, n, t)
+    found = store.stored(_candidates(entries, t), "pairs")
+    store.drop(nodes.sparkSession, used)
+    store.sweep(nodes.sparkSession)
+    return _verified(found, nodes, n, t, named)
 
 
 def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard) of all pairs of documents that reach the threshold."""
     nodes = _nodes(docs)
-    near = _similar(nodes, n, t)
-    names = nodes.select("node", "docs")
-    across = near.join(names.toDF("a", "as"), "a").join(names.toDF("b", "bs"), "b").select(F.explode("as").alias("x"), "bs", "jaccard").select("x", F.explode("bs").alias("y"), "jaccard")
-    equal = names.where("size(docs) > 1").select(F.posexplode("docs").alias("i", "x"), "docs").select("x", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("y"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(equal).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    across = _similar(nodes, n, t, True)
+    equal = nodes.where("size(docs) > 1").select(F.posexplode("docs").alias("i", "a"), "docs").select("a", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("b"), F.lit(1.0).alias("jaccard"))
+    return across.unionByName(equal).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """One document of each group of near duplicates, with its columns; a group is what pairs connect."""
     nodes = _nodes(docs)
-    root = components(_similar(nodes, n, t).select("a", "b"))
+    root = components(_similar(nodes, n, t, False).select("a", "b"))
     ids = nodes.join(root, "node", "inner").select("node", "root", "doc_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
     stays = ids.groupBy("root").agg(F.min_by("node", order).alias("node"))
