@@ -213,7 +213,10 @@ def fit(docs: DataFrame, seed: int = 0) -> Net:
     """Train on TRAIN_ROWS rows that have a language and some text, chosen by keyed hash."""
     rows = docs.select(docs["text"].alias("text"), docs["lang"].alias("lang"), docs["doc_id"].alias("doc_id"))
     rows = rows.where("lang is not null and length(text) >= 32")
-    got = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id", "text"), "doc_id").select("text", "lang").limit(TRAIN_ROWS).collect()
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    # first the hash that ends the sample, then its rows: only they go to the driver
+    last = rows.select("h").orderBy("h").limit(TRAIN_ROWS).agg(F.max("h")).first()[0]
+    got = rows.where(F.col("h") <= F.lit(last)).orderBy("h", "doc_id").select("text", "lang").limit(TRAIN_ROWS).collect()
     return train([r["text"].encode() for r in got], [r["lang"] for r in got], seed)
 
 
