@@ -1,7 +1,9 @@
 """Language-model scores by deleted interpolation of word n-grams.
 
 Counts of one, two and three words are taken over all documents, by an exchange
-of coded hashes in which each chunk learns the total counts of its own n-grams.
+of coded hashes in which each chunk learns the total counts of its own n-grams:
+first of one and two words, then of those of three whose pairs both occur twice
+or more, as no other can.
 A word's probability mixes the maximum-likelihood estimates of the three orders
 and a uniform floor; the mixture depends on how often the two words before it
 occur, by powers of two. The weights of each such bucket are learned by
@@ -50,6 +52,8 @@ class Grams:
     place: list[np.ndarray]
     own: list[np.ndarray]
     n_words: np.ndarray
+    #: Where the values of order 3 begin.
+    third: int
 
 
 def _own(doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -93,6 +97,7 @@ def grams(texts: pa.Array | pa.ChunkedArray, bits: int) -> Grams:
         [1 + i1[word], 1 + i1[word - 1], 1 + a + pair[word - 1], 1 + a + pair[word - 2], 1 + b + i3] if len(word) else [np.zeros(0, np.int64)] * 5,
         [own1[word], own1[word - 1], own2[word - 1], own2[word - 2], _own(seq_doc[word], i3, len(v3))] if len(word) else [np.zeros(0, np.int64)] * 5,
         n,
+        1 + b,
     )
 
 
@@ -142,16 +147,30 @@ def scores(docs: DataFrame) -> DataFrame:
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(sender: int, table: pa.Table) -> pa.RecordBatch:
             g = grams(table["text"], bits)
-            return X.messages(sender, g.values, owners, bits + 2, g.counts)
+            return X.messages(sender, g.values[: g.third], owners, bits + 2, g.counts[: g.third])
 
         return X.sender_batches(batches, one)
 
-    known = X.exchange(rows.where("text is not null").mapInArrow(sent, X.MESSAGE), owners, "ngrams")
+    short = X.exchange(rows.where("text is not null").mapInArrow(sent, X.MESSAGE), owners, "ngrams")
+
+    def sent_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(sender: int, table: pa.Table) -> pa.RecordBatch:
+            g = grams(table["text"], bits)
+            total = X.Answers(*short, sender).totals(g.values[: g.third])
+            live = np.unique(g.place[4][(total[g.place[2]] > 1) & (total[g.place[3]] > 1)])
+            return X.messages(sender, g.values[live] - np.uint64(2 << bits), owners, bits, g.counts[live])
+
+        return X.sender_batches(batches, one)
+
+    long = X.exchange(rows.where("text is not null").mapInArrow(sent_triples, X.MESSAGE), owners, "triples")
+
+    def totals(sender: int, g: Grams) -> np.ndarray:
+        return np.concatenate([X.Answers(*short, sender).totals(g.values[: g.third]), X.Answers(*long, sender).totals(g.values[g.third :] - np.uint64(2 << bits))])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(sender: int, table: pa.Table) -> pa.RecordBatch:
             g = grams(table["text"], bits)
-            ml, bucket, n = estimates(g, X.Answers(*known, sender).totals(g.values))
+            ml, bucket, n = estimates(g, totals(sender, g))
             k = _steps(ml[:3])
             key = ((bucket * (STEPS + 1) + k[0]) * (STEPS + 1) + k[1]) * (STEPS + 1) + k[2]
             kinds, count = np.unique(key, return_counts=True)
@@ -169,7 +188,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(sender: int, table: pa.Table) -> pa.RecordBatch:
             g = grams(table["text"], bits)
-            ml, bucket, _ = estimates(g, X.Answers(*known, sender).totals(g.values))
+            ml, bucket, _ = estimates(g, totals(sender, g))
             p = (lam[bucket].T * ml).sum(axis=0)
             log = np.bincount(g.doc, np.log(np.maximum(p, 1e-300)), table.num_rows)
             null = table["text"].is_null().to_numpy()
