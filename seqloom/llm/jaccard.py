@@ -41,9 +41,10 @@ N = 3
 THRESHOLD = 0.5
 #: Ids that are broadcast at most; beyond it, sets are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Candidate pairs that a task holds, to drop repeated ones before they are shuffled.
+SEEN = 1 << 21
 
 _ENTRY = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SIMILAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
 
@@ -160,27 +161,43 @@ def block_pairs(gram: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) -
 
 def _candidates(entries: DataFrame, t: float) -> DataFrame:
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(df: pd.DataFrame) -> pa.RecordBatch:
+        def met(df: pd.DataFrame) -> pd.DataFrame:
             i, j = block_pairs(df["gram"].to_numpy(), df["size"].to_numpy(), df["pos"].to_numpy(), t)
             node = df["node"].to_numpy()
             x, y = node[i], node[j]
-            got = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-            return pa.RecordBatch.from_pandas(got[got.a != got.b], schema=_PAIR, preserve_index=False)
+            got = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            return got[got.a != got.b].drop_duplicates()
 
-        held = None
+        def emit(parts: list[pd.DataFrame]) -> pa.RecordBatch:
+            got = pd.concat(parts).drop_duplicates().sort_values(["a", "b"])
+            a, b = got["a"].to_numpy(), got["b"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+            bs = pa.ListArray.from_arrays(pa.array(np.append(start, len(a)).astype(np.int32)), pa.array(b, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(a[start], pa.int64()), bs], names=["a", "bs"])
+
+        held, seen, n = None, [], 0
         for batch in batches:
             df = batch.to_pandas()
             df = df if held is None else pd.concat([held, df], ignore_index=True)
-            last = df["gram"].iloc[-1] if len(df) else None
-            cut = int(np.searchsorted(df["gram"].to_numpy(), last)) if len(df) else 0
+            cut = int(np.searchsorted(df["gram"].to_numpy(), df["gram"].iloc[-1])) if len(df) else 0
             held = df.iloc[cut:]
             if cut:
-                yield emit(df.iloc[:cut])
+                seen.append(met(df.iloc[:cut]))
+                n += len(seen[-1])
+            if n > SEEN:  # pairs that many lists hold go on once
+                seen = [pd.concat(seen).drop_duplicates()]
+                n = len(seen[0])
+                if n > SEEN // 2:
+                    yield emit(seen)
+                    seen, n = [], 0
         if held is not None and len(held):
-            yield emit(held)
+            seen.append(met(held))
+        if seen:
+            yield emit(seen)
 
     lists = entries.repartition("gram").sortWithinPartitions("gram", "size", "pos")
-    return lists.mapInArrow(paired, "a long, b long").distinct()
+    partners = lists.mapInArrow(paired, "a long, bs array<long>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    return partners.select("a", F.explode("bs").alias("b"))
 
 
 def answers(ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, leader: int, pairs: list[tuple[int, int]], t: float) -> list[tuple[int, int, float]]:
