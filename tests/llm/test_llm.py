@@ -321,6 +321,54 @@ def test_line_parts():
             assert (fuzzylines.keys(s, blocks, m) == fuzzylines.keys(s ^ np.uint64(flip), blocks, m)).any()
 
 
+def edited(r, kind, words):
+    """A line of so many words and an edit of it that is similar."""
+    while True:
+        w = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9))) for _ in range(words)]
+        a, i = " ".join(w), r.randrange(words)
+        c = list(a)
+        if kind == "inserted":
+            b = " ".join(w[:i] + [r.choice(["a", "of", "the"])] + w[i:])
+        elif kind == "split":
+            c.insert(r.choice([k for k in range(1, len(a)) if " " not in a[k - 1 : k + 1]]), " ")
+            b = "".join(c)
+        elif kind == "joined":
+            b = " ".join(w[:i] + ["".join(w[i : i + 2])] + w[i + 2 :])
+        else:
+            for k in range(3):
+                c[r.randrange(len(c) * k // 3, len(c) * (k + 1) // 3)] = "z"
+            b = "".join(c)
+        if a != b and fuzzylines.similar(a, b, fuzzylines.SIMILARITY):
+            return a, b
+
+
+@pytest.mark.parametrize("kind", ["inserted", "split", "joined", "typos"])
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_fuzzy_candidates_by_kind_of_edit(kind, n):
+    t = fuzzylines.SIMILARITY
+    for words in (5, 6, 8, 10, 14, 20):
+        r = random.Random(words)
+        sides = []
+        for side in zip(*(edited(r, kind, words) for _ in range(100))):
+            w, (data, off) = textops.words(pa.array(side)), textops.buffers(pa.array(side))
+            size = np.array([len(x) for x in side])
+            k, line = fuzzylines.gram_keys(*fuzzylines.gram_hashes(data, off, size, t), size, t)
+            grams = [set(k[line == i].tolist()) for i in range(len(side))]
+            sim = fuzzylines.simhash(w.hash, w.bounds)
+            sides.append((sim, fuzzylines.keys(sim, *fuzzylines.plan(n)), fuzzylines.word_blocks(w.hash, w.bounds), grams))
+        (s, x, p, g), (z, y, q, h) = sides
+        close = np.bitwise_count(s ^ z) <= fuzzylines.MOST_BITS
+        met = [(close[i] and (x[i] == y[i]).any()) or (p[i] == q[i]).any() or bool(g[i] & h[i]) for i in range(len(g))]
+        assert np.mean(met) >= 0.95, (words, np.mean(met))
+
+
+def test_fuzzy_lines_of_other_word_counts_and_scattered_typos(spark):
+    r = random.Random(3)
+    pairs = [edited(r, kind, words) for kind in ("inserted", "split", "joined", "typos") for words in (6, 8, 12, 20)]
+    got = fuzzylines.repeats(table(spark, [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)])).collect()
+    assert {tuple(x) for x in got} == {(2 * i + 1, 0, 2 * i, 0) for i in range(len(pairs))}
+
+
 def test_fuzzy_lines(spark, docs, empty):
     r = random.Random(7)
     rows, line = [], 0
