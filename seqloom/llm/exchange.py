@@ -37,6 +37,16 @@ def loosen(x: bytes | None, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), dtype) if x else np.zeros(0, dtype)
 
 
+def _totals(x: np.ndarray) -> bytes:
+    """Totals in 32 bits each, or in 64 if one needs them; which, is seen by their length."""
+    return squeeze(x.astype(np.uint32 if x.max(initial=0) < 2**32 else np.uint64))
+
+
+def _loosened(x: bytes, n: int) -> np.ndarray:
+    raw = zstandard.decompress(x)
+    return np.frombuffer(raw, np.uint64 if len(raw) == 8 * n else np.uint32).astype(np.int64)
+
+
 def owners_for(df: DataFrame, hashes: int) -> int:
     """Owners for so many hashes in all: enough that each holds a bounded number, at least one a shuffle partition."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashes // PER_OWNER))
@@ -83,7 +93,7 @@ def _answer(shards: int) -> Callable[[pa.Table], pa.Table]:
                 rows["sender"].append(sender)
                 rows["owner"].append(owner)
                 rows["code"].append(golomb.encode(values[s][k]))
-                rows["totals"].append(squeeze(np.minimum(total[group[s][k]], 2**32 - 1).astype(np.uint32)))
+                rows["totals"].append(_totals(total[group[s][k]]))
                 rows["least"].append(None if low is None else squeeze(low[group[s][k]]))
         return pa.Table.from_pydict(rows, schema=_ANSWER)
 
@@ -106,8 +116,9 @@ class Answers:
     def __init__(self, path: str, shards: int, sender: int):
         got = store.read_shard(path, sender, sender % shards)
         rows = sorted(got.select(["owner", "code", "totals", "least"]).to_pylist(), key=lambda r: (r["owner"], r["code"])) if got is not None else []
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *(golomb.decode(r["code"]) for r in rows)])
-        self.total = np.concatenate([np.zeros(0, np.uint32), *(loosen(r["totals"], np.uint32) for r in rows)])
+        hashes = [golomb.decode(r["code"]) for r in rows]
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.total = np.concatenate([np.zeros(0, np.int64), *(_loosened(r["totals"], len(h)) for r, h in zip(rows, hashes))])
         self.least = np.concatenate([np.zeros(0, np.int64), *(loosen(r["least"], np.int64) for r in rows)])
         if len(self.hash) > 1 and not (self.hash[1:] > self.hash[:-1]).all():  # a chunk that two tasks shared sent twice
             self.hash, first = np.unique(self.hash, return_index=True)

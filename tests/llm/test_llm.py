@@ -7,10 +7,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import countmin, euclid, exact_dedup, fuzzylines, golomb, interpolation, jaccard, langid, mixing, pieces, suffixes, textops
+from seqloom.llm import countmin, euclid, exact_dedup, exchange, fuzzylines, golomb, interpolation, jaccard, langid, mixing, pieces, suffixes, textops
 from seqloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _sender string, row int, h double, _metadata string"
@@ -61,6 +62,22 @@ def test_golomb():
         assert (golomb.decode(golomb.encode(x)) == x).all()
 
 
+def test_exchange_keeps_totals_beyond_32_bits(tmp_path):
+    most = 2**32 - 1
+    sent = [exchange.messages(k, np.array([0, 7, 9 + k], np.uint64), 1, 36, np.array([most, 3, 1])) for k in range(3)]
+    answers = exchange._answer(1)(pa.Table.from_batches(sent))
+    (tmp_path / "shard=0").mkdir()
+    pq.write_table(answers.drop_columns("shard"), tmp_path / "shard=0" / "x.parquet")
+    got = exchange.Answers(str(tmp_path), 1, 1)
+    assert got.totals(np.array([0, 7, 10], np.uint64)).tolist() == [3 * most, 9, 1]
+    # the estimate of a word and the floor take the number of all words from value 0
+    g = interpolation.grams(pa.array(["a b a", "c"]), 36)
+    totals = np.full(len(g.values), 10)
+    totals[0] = got.totals(np.array([0], np.uint64))[0]
+    ml, _, words = interpolation.estimates(g, totals)
+    assert words[0] == 3 * most and ml[3][0] == 1 / (3 * most + 1) and ml[2][0] == 8 / (3 * most - 3)
+
+
 def test_words_are_those_of_the_expression():
     t = [t for _, t in texts()]
     w = textops.words(pa.array(t, pa.string()))
