@@ -104,9 +104,7 @@ def exchange(sent: DataFrame, owners: int, name: str) -> tuple[str, int]:
     """Run the exchange of a DataFrame of messages: the answers' path, and its number of shards."""
     spark = sent.sparkSession
     shards = max(1, owners)
-    store.sweep(spark)
     path = store.written(sent.repartition(owners, "owner").groupBy("owner").applyInArrow(_answer(shards), ANSWER).repartition(shards, "shard").sortWithinPartitions("shard", "sender"), name, "shard")
-    store.sweep(spark)
     return path, shards
 
 

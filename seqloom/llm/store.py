@@ -8,11 +8,11 @@ a folder of our own made, and then only in local mode.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -58,12 +58,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(written(df, name))
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, now rather than at its leisure."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that are no longer needed."""
     jvm = spark.sparkContext._jvm
@@ -95,6 +89,45 @@ def chunked(df: DataFrame, cols: dict, rows: int = CHUNK_ROWS, numbered: str | N
     return again.select(*[n for n in cols if n != numbered], *own, sender)
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """The rows with a number each, written; the upper bits of a number tell the task that wrote it, as picked() expects."""
+    return stored(df.select(F.monotonically_increasing_id().alias(column), "*"), name)
+
+
+def picked(rows: DataFrame, number: str, wanted: DataFrame, without: bool = False) -> DataFrame:
+    """The rows of a numbered() table whose number is in ``wanted`` (or isn't): a semi-join (an anti-join) that shuffles only numbers.
+
+    The numbers lie in the shared folder by the task that made them, so a scan
+    of the rows reads its own, whatever their number in all.
+    """
+    spark = rows.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of = F.shiftright(number, 33)
+    ids = wanted.select(F.col(number).alias("number"), of.alias("sender"), F.pmod(of, F.lit(shards)).cast("int").alias("shard"))
+    path = written(ids.repartition(shards, "shard").sortWithinPartitions("sender", "number"), "picked", "shard")
+
+    @F.arrow_udf("boolean")
+    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[int, np.ndarray] = {}
+        for x in batches:
+            ids = x.to_numpy()
+            out = np.zeros(len(ids), bool)
+            for s in np.unique(ids >> 33).tolist():
+                if s not in known:
+                    if len(known) > 4:
+                        known.pop(next(iter(known)))
+                    got = read_shard(path, s, s % shards)
+                    known[s] = np.unique(got["number"].to_numpy()) if got is not None else np.zeros(0, np.int64)
+                at = (ids >> 33) == s
+                if len(known[s]):
+                    k = np.minimum(np.searchsorted(known[s], ids[at]), len(known[s]) - 1)
+                    out[at] = known[s][k] == ids[at]
+            yield pa.array(out)
+
+    hit = named(number)
+    return rows.where(~hit if without else hit)
+
+
 def by_sender(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Join neighbouring rows of one chunk; chunks arrive one after another."""
     held: list[pa.RecordBatch] = []

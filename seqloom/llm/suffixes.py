@@ -154,7 +154,6 @@ def passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out["redundant"].append(X.squeeze(np.packbits(red[r][rep[r]])))
         return pa.Table.from_pydict(out, schema=_ANSWER)
 
-    store.sweep(spark)
     messages = "bucket int, sender long, " + ", ".join(f"{c} binary" for c in _MESSAGE.names[2:])
     found = store.written(
         rows.mapInArrow(sent, messages).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(sorted_bucket, "shard int, sender long, places binary, redundant binary").repartition(owners, "shard").sortWithinPartitions("shard", "sender"),
@@ -162,7 +161,6 @@ def passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "shard",
     )
     store.drop(spark, ranks[0])
-    store.sweep(spark)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(sender: int, table: pa.Table) -> pa.RecordBatch | None:
