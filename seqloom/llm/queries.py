@@ -22,7 +22,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return euclid.pairs(_table(spark, sf_dir, "embeddings"))
+    return euclid.links(_table(spark, sf_dir, "embeddings"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.pairs(_table(spark, sf_dir, "documents"))
+    return jaccard.links(_table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op4_substring_dedup": countmin.sql(), "op6_suffix_array": countmin.sql(suffixes.LENGTH), "op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op3_embedding_near_dedup": euclid.sql(), "op4_substring_dedup": countmin.sql(), "op6_suffix_array": countmin.sql(suffixes.LENGTH), "op1_mixing": mixing.sql(), "op9_ngram_jaccard": jaccard.sql(), "op10_exact_dedup": exact_dedup.SQL}
