@@ -107,31 +107,70 @@ def grams(t, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
+def near_groups(sets, t=jaccard.THRESHOLD):
+    """For each of the sets that has a partner, the members of its group and the number of its partners."""
+    links, root = {}, list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[i], sets[j]
+        if x and y and len(x & y) / len(x | y) >= t:
+            links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
+            old, new = root[j], root[i]
+            root = [new if r == old else r for r in root]
+    return {i: ([k for k in range(len(sets)) if root[k] == root[i]], n) for i, n in links.items()}
+
+
+def wanted_links(rows):
+    return sorted((str(rows[i][0]), min((rows[k][0] for k in group if rows[k][0] is not None), default=None), n) for i, (group, n) in near_groups([grams(t) for _, t in rows]).items())
+
+
 def test_jaccard(docs, empty):
-    s = [(i, grams(t)) for i, t in texts()]
-    want = []
-    for (a, x), (b, y) in itertools.combinations(s, 2):
-        if x and y and a is not None and b is not None and len(x & y) / len(x | y) >= jaccard.THRESHOLD:
-            want.append((min(a, b), max(a, b), round(len(x & y) / len(x | y), 6)))
-    assert sorted(map(tuple, jaccard.pairs(docs).collect())) == sorted(want)
+    got = sorted((str(a), b, c) for a, b, c in jaccard.links(docs).collect())
+    assert got == wanted_links(texts()) and got
     kept = jaccard.dedup(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9, 12, 13, 14, 15, 16]
-    assert jaccard.pairs(empty).count() == 0 and jaccard.dedup(empty).count() == 0
+    assert jaccard.links(empty).count() == 0 and jaccard.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_of_crowded_homes(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(11)
+    bases, rows = [words(70 + k, 40) for k in range(3)], []
+    for k in range(60):
+        w = list(bases[k % 3])
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        rows.append((k, " ".join(w[: r.randint(25, 40)])))
+    rows += [(100 + k, rows[0][1]) for k in range(5)]
+    got = sorted((str(a), b, c) for a, b, c in jaccard.links(table(spark, rows)).collect())
+    assert got == wanted_links(rows) and len(got) > 40
+    keep = {min(group) for group, _ in near_groups([grams(t) for _, t in rows]).values()}
+    linked = set(near_groups([grams(t) for _, t in rows]))
+    assert {x["doc_id"] for x in jaccard.dedup(table(spark, rows)).select("doc_id").collect()} == {rows[i][0] for i in range(len(rows)) if i in keep or i not in linked}
 
 
 def test_block_skipping_loses_no_pair():
     r = np.random.default_rng(3)
-    gram = np.sort(r.integers(0, 4, 60))
-    size, pos = r.integers(5, 30, 60), r.integers(0, 5, 60)
+    gram = np.sort(r.integers(0, 12, 60))
+    size, pos = r.integers(5, 30, 60), r.integers(0, 9, 60)
     o = np.lexsort((pos, size, gram))
     gram, size, pos = gram[o], size[o], pos[o]
-    got = set(zip(*(x.tolist() for x in jaccard.block_pairs(gram, size, pos, 0.5))))
-    want = set()
+    got = jaccard.reachable(gram, size, pos, 0.5)
+    want = np.zeros(60, bool)
     for i, j in itertools.combinations(range(60), 2):
         if gram[i] == gram[j] and size[i] >= 0.5 * size[j] and 1 + min(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= math.ceil((size[i] + size[j]) / 3 - 1e-9):
-            want.add((i, j))
-    assert got == want
+            want[i] = want[j] = True
+    assert not (want & ~got).any() and (got != want).sum() <= 6 and not got.all()
+
+
+def test_overlaps_follow_from_those_with_the_leader():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 30))).astype(np.uint64) for _ in range(20)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    for leader in (0, 7):
+        got = jaccard.overlaps(np.concatenate(sets), bounds, leader)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
 
 
 def test_components(spark):
@@ -295,21 +334,32 @@ def test_em_raises_likelihood():
     assert like == sorted(like) and like[-1] > like[0]
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [16, 1024])
+def test_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(euclid, "BLOCK", block)
     r = np.random.default_rng(4)
     x = r.normal(size=(300, 32))
-    near = x[:100] / np.linalg.norm(x[:100], axis=1, keepdims=True) + 0.06 * r.normal(size=(100, 32))
-    v = [(i, row.tolist()) for i, row in enumerate(np.concatenate([x, near, x[:2] * 3]))]
-    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (None, x[0].tolist())]
-    t = spark.createDataFrame(v + odd, "vec_id long, embedding array<double>")
-    u = np.array([a for _, a in v])
+    near = x[:100] / np.linalg.norm(x[:100], axis=1, keepdims=True) + 0.05 * r.normal(size=(100, 32))
+    close = x[150] / np.linalg.norm(x[150]) + 0.02 * r.normal(size=(40, 32))  # a group of its own
+    v = [(i, row.tolist()) for i, row in enumerate(np.concatenate([x, near, close, x[:2] * 4]))]
+    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (905, [4.0, 8.0]), (None, x[0].tolist()), (906, [None] * 32)]
+    t = spark.createDataFrame([(*row, "b", 1) for row in v + odd], "vec_id long, embedding array<double>, bucket string, n int")
+    ids = [i for i, _ in v] + [None]
+    u = np.array([a for _, a in v] + [x[0].tolist()])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    c = u @ u.T
-    want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if c[i, j] >= euclid.THRESHOLD}
-    got = {(r["vec_a"], r["vec_b"]) for r in euclid.pairs(t).collect()}
-    assert (904, 905) in got and got - {(904, 905)} <= want
-    assert len(got & want) >= 0.9 * len(want) > 50
-    assert euclid.pairs(t.limit(0)).count() == 0
+    ok = u @ u.T >= euclid.THRESHOLD - 1e-12
+    np.fill_diagonal(ok, False)
+    root = euclid.roots(len(ids), *np.nonzero(ok))
+    want = {(ids[i], min(ids[k] for k in range(len(ids) - 1) if root[k] == root[i]), int(ok[i].sum())) for i in range(len(ids)) if ok[i].any()}
+    got = [tuple(z) for z in euclid.links(t).collect()]
+    small = [z for z in got if (z[0] or 0) >= 900]
+    assert sorted(small) == [(904, 904, 2), (905, 904, 2), (905, 904, 2)]
+    found = {z for z in got if z not in small}
+    assert len(want) > 200 and {z[0] for z in found} <= {z[0] for z in want} and len(found) + 3 == len(got)
+    assert len(found & want) >= 0.95 * len(want) and sum(z[2] for z in found) >= 0.97 * sum(z[2] for z in want)
+    assert euclid.links(t.limit(0)).count() == 0
+    floats = t.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert len({tuple(z) for z in euclid.links(floats).collect()} & want) >= 0.95 * len(want)
 
 
 def test_line_parts():
@@ -330,12 +380,10 @@ def test_line_parts():
         assert fuzzylines.distance(a, b, most) == min(plain(a, b), most + 1)
     got = fuzzylines.normalised(pa.array(["  Ab, c\n\n--\nD e  ", "", None, "x", "\n", "y \n z"]))
     assert (got[0].to_pylist(), got[1].tolist(), got[2].tolist()) == (["ab c", "d e", "x", "y", "z"], [0, 0, 3, 5, 5], [0, 3, 0, 0, 1])
-    for n in (10, 10**6, 10**9):
-        blocks, m = fuzzylines.plan(n)
-        s = np.array([r.getrandbits(64)], np.uint64)
-        for _ in range(20):
-            flip = sum(1 << i for i in r.sample(range(64), fuzzylines.SURE_BITS))
-            assert (fuzzylines.keys(s, blocks, m) == fuzzylines.keys(s ^ np.uint64(flip), blocks, m)).any()
+    x = np.array([r.getrandbits(64)], np.uint64)
+    for _ in range(40):
+        flip = sum(1 << i for i in r.sample(range(64), fuzzylines.BLOCKS - fuzzylines.AGREE))
+        assert (fuzzylines.keys(x) == fuzzylines.keys(x ^ np.uint64(flip))).any()
 
 
 def edited(r, kind, words):
@@ -360,8 +408,7 @@ def edited(r, kind, words):
 
 
 @pytest.mark.parametrize("kind", ["inserted", "split", "joined", "typos"])
-@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
-def test_fuzzy_candidates_by_kind_of_edit(kind, n):
+def test_fuzzy_candidates_by_kind_of_edit(kind):
     t = fuzzylines.SIMILARITY
     for words in (5, 6, 8, 10, 14, 20):
         r = random.Random(words)
@@ -371,11 +418,9 @@ def test_fuzzy_candidates_by_kind_of_edit(kind, n):
             size = np.array([len(x) for x in side])
             k, line = fuzzylines.gram_keys(*fuzzylines.gram_hashes(data, off, size, t), size, t)
             grams = [set(k[line == i].tolist()) for i in range(len(side))]
-            sim = fuzzylines.simhash(w.hash, w.bounds)
-            sides.append((sim, fuzzylines.keys(sim, *fuzzylines.plan(n)), fuzzylines.word_blocks(w.hash, w.bounds), grams))
-        (s, x, p, g), (z, y, q, h) = sides
-        close = np.bitwise_count(s ^ z) <= fuzzylines.MOST_BITS
-        met = [(close[i] and (x[i] == y[i]).any()) or (p[i] == q[i]).any() or bool(g[i] & h[i]) for i in range(len(g))]
+            sides.append((fuzzylines.keys(fuzzylines.simhash(w.hash, w.bounds)), grams))
+        (x, g), (y, h) = sides
+        met = [(x[i] == y[i]).any() or bool(g[i] & h[i]) for i in range(len(g))]
         assert np.mean(met) >= 0.95, (words, np.mean(met))
 
 
@@ -431,18 +476,8 @@ def test_pipeline_against_single_steps(spark, tmp_path):
     for x in sorted(rows, key=lambda x: x["doc_id"]):
         first.setdefault(x["text"], x)
     rows = list(first.values())
-    sets = [(x["doc_id"], grams(x["text"])) for x in rows]
-    root = {i: i for i, _ in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if x and y and len(x & y) / len(x | y) >= jaccard.THRESHOLD:
-            root[max(find(a), find(b))] = min(find(a), find(b))
-    rows = [x for x in rows if find(x["doc_id"]) == x["doc_id"]]
+    near = near_groups([grams(x["text"]) for x in rows])
+    rows = [x for k, x in enumerate(rows) if k not in near or k == min(near[k][0])]
     left = spark.createDataFrame(rows, r.schema)
     want = mixing.selection(left).groupBy("doc_id").count().toPandas()
     assert got.groupby("doc_id").size().to_dict() == dict(zip(want["doc_id"], want["count"]))
