@@ -15,9 +15,19 @@ The held-out part is a keyed tenth of the documents and grows with them; its
 words reach EM as counts by bucket and by the three estimates in steps of
 2**(1/4), a table whose size is bounded by the steps, not by the corpus.
 
+Each weight is at least ``LEAST_WEIGHT``, so no text, also one of unseen words
+only, has a probability of zero.
+
+N-grams are told apart by hashes of 36 bits or more, 14 beyond the number of
+words: about one in 2**14 shares its counter with another, in every corpus; the
+counts are upper bounds in that measure. They are not compared as words.
+
 Defined results: words are in lower case, each text begins with two marks; a
 null text has null scores, a text without words zero words and null scores;
-equal texts get equal scores as rows (each is the other's evidence).
+equal texts get equal scores as rows (each is the other's evidence), whether
+they share a doc_id or not; a null doc_id is carried along as null; other
+columns, whatever their names, are ignored; doc_id is an integer; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,6 +47,8 @@ from . import textops as T
 BUCKETS = 16
 HELD_OUT = 10
 ROUNDS = 60
+#: What each weight is at least, so that a text of unseen words has a probability too.
+LEAST_WEIGHT = 1e-4
 #: Steps by which estimates are told apart in learning: 2**(-k/4), the last for zero.
 STEPS = 160
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
@@ -127,6 +139,11 @@ def em(bucket: np.ndarray, ml: np.ndarray, count: np.ndarray, rounds: int = ROUN
     return lam
 
 
+def floored(lam: np.ndarray, least: float = LEAST_WEIGHT) -> np.ndarray:
+    """Weights, each of which is at least ``least``, that still add up to 1."""
+    return least + (1 - least * lam.shape[1]) * lam
+
+
 def _steps(ml: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.where(ml > 0, np.clip(np.rint(-4 * np.log2(ml)), 0, STEPS - 1), STEPS).astype(np.int64)
@@ -137,7 +154,7 @@ def _unstep(k: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every row; log_prob is the natural logarithm, summed over the words."""
+    """(doc_id, n_words, log_prob, perplexity) of every row; log_prob is the natural logarithm, the mean over the words."""
     _, chars = X.volume(docs)
     words = max(1, chars // 5)
     bits, owners = min(58, X.bits_for(words)), X.owners_for(docs, 2 * words)
@@ -183,7 +200,7 @@ def scores(docs: DataFrame) -> DataFrame:
     kind, n = got["kind"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
     s = STEPS + 1
     floor = np.full(len(kind), 1 / (float(got["words"].max()) + 1) if len(got) else 1.0)
-    lam = em(kind // s**3, np.stack([_unstep(kind // s**2 % s), _unstep(kind // s % s), _unstep(kind % s), floor]), n)
+    lam = floored(em(kind // s**3, np.stack([_unstep(kind // s**2 % s), _unstep(kind // s % s), _unstep(kind % s), floor]), n))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(sender: int, table: pa.Table) -> pa.RecordBatch:
@@ -193,7 +210,8 @@ def scores(docs: DataFrame) -> DataFrame:
             log = np.bincount(g.doc, np.log(np.maximum(p, 1e-300)), table.num_rows)
             null = table["text"].is_null().to_numpy()
             none = null | (g.n_words == 0)
-            per = np.exp(np.minimum(-log / np.maximum(g.n_words, 1), 700))
+            log = log / np.maximum(g.n_words, 1)
+            per = np.exp(-log)
             return pa.RecordBatch.from_arrays(
                 [table["doc_id"].combine_chunks(), pa.array(g.n_words, mask=null), pa.array(np.round(log, 6), mask=none), pa.array(np.round(per, 6), mask=none)],
                 names=["doc_id", "n_words", "log_prob", "perplexity"],

@@ -1,15 +1,21 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
 Trained here, in numpy, by backpropagation through time, on a bounded sample of
-labelled rows. A text is read whole, in windows of ``window`` bytes that run
-side by side; each direction starts anew in each window. Every byte gets
-probabilities of its own from both directions' states, and so a label; the
-document's probabilities are the means over its bytes.
+labelled rows, of whose whole texts windows are drawn. A text is read whole: one
+of up to ``SPAN`` bytes in one run of each direction, a longer one in spans that
+run side by side. Each direction enters a span with the state that it has after
+the ``CONTEXT`` bytes before (behind) it, so no state starts anew at a border.
+Every byte gets probabilities of its own from both directions' states, and so a
+label; the document's probabilities are the means over its bytes.
 
 Defined results: a null text, or one without bytes, has no language: language
-null, probability 0, rejected. A tie goes to the language of first name. A row
-is accepted if its pooled probability reaches ``least``. Other columns are
-carried along, and equal rows get equal results.
+null, probability 0, rejected; so has every text if no row of the table has a
+language to learn from. A tie goes to the language of first name. A row is
+accepted if its pooled probability reaches ``least``, one half: no other
+language, nor all others together, is as likely. accepted() carries the columns
+along, whatever their names, and fills in the language found where lang is null.
+Null doc_ids are kept, equal rows get equal results, an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -26,14 +32,20 @@ from . import textops
 from .exact_dedup import packed
 
 HIDDEN = 8
+#: Bytes that backpropagation goes through at a time.
 WINDOW = 96
 #: Rows of the sample that the network is trained on: the bound on what training reads.
 TRAIN_ROWS = 480
-#: Windows taken from one row in training.
-TRAIN_WINDOWS = 6
 STEPS = 260
-LEAST = 0.35
-LANES = 4096
+LEAST = 0.5
+#: Bytes of a text in one run, and of what goes before.
+SPAN = 1024
+CONTEXT = 64
+LANES = 512
+
+
+#: The labels of a network that had nothing to learn from.
+UNTAUGHT = ("?",)
 
 
 @dataclass(frozen=True)
@@ -63,13 +75,14 @@ def start(labels: list[str], seed: int = 0, hidden: int = HIDDEN) -> Net:
     )
 
 
-def _states(net: Net, w: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (2, T, H, B) of windows w (T, B); [1] runs from the end. keep gets what training needs."""
+def _states(net: Net, w: np.ndarray, keep: list | None = None, length: np.ndarray | None = None) -> np.ndarray:
+    """States (2, T, H, B) of windows w (T, B); [1] runs from the end, that of each lane if lengths are given. keep gets what training needs."""
     steps, lanes = w.shape
     hid = net.u.shape[2]
     out = np.empty((2, steps, hid, lanes), np.float32)
     a = np.empty((3 * hid, lanes), np.float32)
     q = np.empty((3 * hid, lanes), np.float32)
+    shortest = steps if length is None else int(length.min())
     for d in (0, 1):
         h = np.zeros((hid, lanes), np.float32)
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
@@ -93,13 +106,15 @@ def _states(net: Net, w: np.ndarray, keep: list | None = None) -> np.ndarray:
             np.subtract(h, n, out=new)
             new *= z
             new += n
+            if d and length is not None and t >= shortest:
+                new *= t < length
             h = new
     return out
 
 
-def probabilities(net: Net, w: np.ndarray) -> np.ndarray:
-    """(T, C, B) of windows (T, B)."""
-    s = _states(net, w)
+def probabilities(net: Net, w: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+    """(T, C, B) of windows (T, B), or of so much of each as lengths tell."""
+    s = _states(net, w, None, length)
     hid = s.shape[2]
     o = np.matmul(net.v[:, :hid], s[0])
     o += np.matmul(net.v[:, hid:], s[1])
@@ -145,15 +160,14 @@ def _gradients(net: Net, w: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tupl
 def train(texts: list[bytes], labels: list[str], seed: int = 0, steps: int = STEPS) -> Net:
     """A network for these texts: Adam over mini-batches of windows, the languages in equal parts."""
     names = sorted(set(labels))
-    net = start(names or ["?"], seed)
+    net = start(names or list(UNTAUGHT), seed)
     r = np.random.default_rng(seed)
     rows, ys = [], []
     for text, label in zip(texts, labels):
         b = np.frombuffer(text, np.uint8)
-        last = max(1, len(b) - WINDOW + 1)
-        for at in np.unique(np.linspace(0, last - 1, TRAIN_WINDOWS).astype(int)):
+        for at in range(0, len(b), WINDOW):
             part = b[at : at + WINDOW]
-            if len(part):
+            if len(part) == WINDOW or not at:
                 rows.append(np.pad(part.astype(np.int64), (0, WINDOW - len(part)), constant_values=-1))
                 ys.append(names.index(label))
     if not rows:
@@ -182,25 +196,24 @@ def label_texts(net: Net, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n, c = len(off) - 1, len(net.labels)
     size = np.diff(off)
     pooled, shares = np.zeros((n, c)), np.zeros((n, c))
-    count = -(-size // WINDOW)
+    count = -(-size // SPAN)
     doc = np.repeat(np.arange(n), count)
     within = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    begin = off[doc] + within * WINDOW
-    length = np.minimum(WINDOW, off[doc + 1] - begin) if len(doc) else begin
-    order = np.argsort(-length, kind="stable")  # lanes of one length run together
-    step = np.arange(WINDOW)[:, None]
+    begin = off[doc] + within * SPAN
+    end = np.minimum(begin + SPAN, off[doc + 1])
+    # a lane is a span with its context on both sides
+    low, high = np.maximum(begin - CONTEXT, off[doc]), np.minimum(end + CONTEXT, off[doc + 1])
+    order = np.argsort(low - high, kind="stable")  # lanes of one length run together
+    step = np.arange(SPAN + 2 * CONTEXT)[:, None]
     for a in range(0, len(order), LANES):
         o = order[a : a + LANES]
-        long = int(length[o].max())
-        at = begin[o] + step[:long]
-        real = step[:long] < length[o]
-        # bytes past the end repeat the last one: they count for nothing
-        w = data[np.minimum(at, begin[o] + length[o] - 1)]
-        p = probabilities(net, w)
+        long = int((high[o] - low[o]).max())
+        at = low[o] + step[:long]
+        # bytes past the end repeat the last one: they and the context count for nothing
+        p = probabilities(net, data[np.minimum(at, high[o] - 1)], high[o] - low[o])
+        real = (at >= begin[o]) & (at < end[o])
         best = p.argmax(axis=1)
-        whole = real.all()
-        if not whole:
-            p *= real[:, None, :]
+        p *= real[:, None, :]
         sums = p.sum(axis=0)
         for k in range(c):
             np.add.at(pooled[:, k], doc[o], sums[k])
@@ -212,7 +225,7 @@ def label_texts(net: Net, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, seed: int = 0) -> Net:
     """Train on TRAIN_ROWS rows that have a language and some text, chosen by keyed hash."""
     rows = docs.select(docs["text"].alias("text"), docs["lang"].alias("lang"), docs["doc_id"].alias("doc_id"))
-    rows = rows.where("lang is not null and length(text) >= 32")
+    rows = rows.where("lang is not null and length(text) > 0")
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     # first the hash that ends the sample, then its rows: only they go to the driver
     last = rows.select("h").orderBy("h").limit(TRAIN_ROWS).agg(F.max("h")).first()[0]
@@ -221,7 +234,7 @@ def fit(docs: DataFrame, seed: int = 0) -> Net:
 
 
 def _labelled(docs: DataFrame, net: Net) -> DataFrame:
-    labels = net.labels
+    labels, untaught = net.labels, net.labels == UNTAUGHT
 
     @F.arrow_udf("lang string, prob double, share double")
     def label(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -231,7 +244,8 @@ def _labelled(docs: DataFrame, net: Net) -> DataFrame:
                 pooled, shares = label_texts(net, texts[a : a + 1024])
                 best = pooled.argmax(axis=1)
                 at = np.arange(len(best))
-                none = pooled.sum(axis=1) == 0
+                none = (pooled.sum(axis=1) == 0) | untaught
+                pooled[none] = shares[none] = 0
                 parts.append(
                     pa.StructArray.from_arrays(
                         [
@@ -255,5 +269,7 @@ def identify(docs: DataFrame, net: Net | None = None, least: float = LEAST) -> D
 
 
 def accepted(docs: DataFrame, net: Net | None = None, least: float = LEAST) -> DataFrame:
-    """The accepted rows with their columns."""
-    return _labelled(docs, net or fit(docs)).where(F.col("found.prob") >= least).select("row.*")
+    """The accepted rows with their columns; a null lang becomes the language found."""
+    found = _labelled(docs, net or fit(docs)).where(F.col("found.prob") >= least)
+    column = lambda c: F.col(f"row.`{c.replace('`', '``')}`")
+    return found.select(*[(F.coalesce(column(c), F.col("found.lang")) if c == "lang" else column(c)).alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -225,8 +226,51 @@ def test_mixing(docs, empty):
     for leaf, n in have.items():
         longest = max(x[4] for x in rows if (x[2], x[3]) == leaf[1:])
         assert want[leaf] - longest < sum(got.get(leaf, [])) <= want[leaf]
-    assert mixing.mixed(docs, mix).columns == docs.columns
-    assert mixing.selection(empty).count() == 0
+    whole = mixing.mixed(docs, mix)
+    assert whole.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in whole.collect()) == sorted(str(r["doc_id"]) for r in mixing.selection(docs, mix).collect())
+    assert mixing.selection(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def chosen(rows, mix):
+    """Brute force of the selection: rows (doc_id, text, lang, source), all sorted."""
+    have, leaves = {}, {}
+    for i, t, lang, source in rows:
+        n = len(re.findall(mixing.TOKEN, t or ""))
+        if n:
+            leaves.setdefault((mix.domains.get(source, "?"), lang or "?", source or "?"), []).append((i, t, n))
+    have = {k: sum(x[2] for x in v) for k, v in leaves.items()}
+    out = []
+    for leaf, budget in mixing.budgets(have, mix).items():
+        whole, rest = divmod(budget, have[leaf])
+        out += [(str(i), leaf, e, n) for i, _, n in leaves[leaf] for e in range(whole)]
+        key = lambda x: (int(hashlib.md5(f"{mix.seed}:{whole}:{'?' if x[0] is None else x[0]}".encode()).hexdigest()[:15], 16), x[0] is None, x[0] or 0, x[1])  # noqa: B023, E731
+        upto = 0
+        for i, _, n in sorted(leaves[leaf], key=key):
+            upto += n
+            if upto > rest:
+                break
+            out.append((str(i), leaf, whole, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ranges", [2, 4096])
+def test_mixing_against_brute_force(spark, monkeypatch, ranges):
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    r = random.Random(9)
+    rows = [(r.choice([k, k, None, 3]), " ".join(words(k, r.randint(0, 30))), r.choice(["en", "fr", None]), r.choice(["src0", "src1", "src2", "src9", None])) for k in range(120)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for mix in (mixing.Mix(), mixing.Mix(epochs=2, source_weights={"src0": 0, "src1": 3}, lang_weights={"fr": 0, "en": 2}), mixing.Mix(domain_weights={"web": 0, "news": 0, "books": 0, "forum": 0, "?": 0})):
+        got = sorted((str(x["doc_id"]), (x["domain"], x["lang"], x["source"]), x["epoch"], x["n_tokens"]) for x in mixing.selection(t, mix).collect())
+        assert got == chosen(rows, mix)
+        assert sorted(str(x["doc_id"]) for x in mixing.mixed(t, mix).collect()) == [x[0] for x in got]
+    assert not got
+
+
+def test_weight_0_gives_nothing_and_takes_no_share():
+    mix = mixing.Mix(domains={"a": "x", "b": "x", "c": "y"}, domain_weights={"x": 1, "y": 1}, lang_weights={}, source_weights={"a": 0}, epochs=1, budget=1000)
+    got = mixing.budgets({("x", "en", "a"): 400, ("x", "en", "b"): 100, ("y", "en", "c"): 500}, mix)
+    assert got == {("x", "en", "a"): 0, ("x", "en", "b"): 100, ("y", "en", "c"): 500}
 
 
 def test_shortage_goes_to_siblings_first():
@@ -297,6 +341,10 @@ def test_language_accuracy_held_out(spark, docs, empty):
     net = langid.fit(d.where("f = 0"))
     got = langid.identify(d.where("f = 1"), net).join(d.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("language") == F.col("lang")).cast("int")), F.avg(F.col("accepted").cast("int"))).first()
     assert got[0] > 0.95 and got[1] > 0.995
+    untaught = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.identify(untaught).where("language is null and not accepted and probability = 0").count() == len(texts()) and langid.accepted(untaught).count() == 0
+    named = langid.accepted(untaught, net)
+    assert named.columns == docs.columns and named.count() > 5 and named.where("lang is null").count() == 0
     odd = langid.identify(docs, net)
     assert odd.where("language is null and not accepted").count() == 4 and odd.count() == len(texts())
     assert langid.accepted(docs, net).columns == docs.columns
@@ -327,6 +375,46 @@ def test_interpolation(docs, empty):
     assert interpolation.scores(empty).count() == 0
 
 
+def test_language_of_long_texts_carries_state():
+    """A text of several spans gets what one run over all of it gives, but for what lies beyond the context."""
+    r = np.random.default_rng(3)
+    net = langid.start(["a", "b"], 2)
+    text = bytes(r.integers(97, 123, 5000).astype(np.uint8))
+    short = text[: langid.SPAN - 7]
+    got = langid.label_texts(net, pa.array([text.decode(), short.decode(), "ab", ""]))
+    for k, t in enumerate((text, short, b"ab")):
+        p = langid.probabilities(net, np.frombuffer(t, np.uint8)[:, None])[:, :, 0]
+        assert np.allclose(got[0][k], p.mean(axis=0), atol=1e-4 if k == 0 else 1e-6)
+        assert np.allclose(got[1][k], [(p.argmax(axis=1) == c).mean() for c in (0, 1)], atol=1e-3)
+    assert not got[0][3].any()
+
+
+def test_scores_end_to_end(spark):
+    """Totals, learned weights and scores against a computation of all of it in one place."""
+    rows = [(k, " ".join(words(k % 7, 30) + words(k, 10)) if k != 5 else "unseen words only") for k in range(60)]
+    t = table(spark, rows)
+    got = {r["doc_id"]: r for r in interpolation.scores(t).collect()}
+    g = interpolation.grams(pa.array([x for _, x in rows]), 50)
+    ml, bucket, n = interpolation.estimates(g, g.counts)
+    held = {r["doc_id"] for r in t.where(F.pmod(F.xxhash64(F.lit("held out"), "doc_id", "text"), F.lit(interpolation.HELD_OUT)) == 0).collect()}
+    at = np.isin(g.doc, [k for k in range(60) if k in held])
+    steps = np.where(ml[:3] > 0, 2.0 ** (np.clip(np.rint(4 * np.log2(np.maximum(ml[:3], 1e-300))), 1 - interpolation.STEPS, 0) / 4), 0)
+    lam = np.full((interpolation.BUCKETS, 4), 0.25)
+    for _ in range(interpolation.ROUNDS):
+        new = np.zeros_like(lam)
+        for w in np.flatnonzero(at):
+            part = lam[bucket[w]] * np.append(steps[:, w], ml[3, w])
+            new[bucket[w]] += part / part.sum()
+        lam = np.where(new.sum(1, keepdims=True) > 0, new / np.maximum(new.sum(1, keepdims=True), 1e-300), lam)
+    lam = interpolation.floored(lam)
+    assert np.allclose(lam.sum(axis=1), 1) and lam.min() >= interpolation.LEAST_WEIGHT
+    log = np.log((lam[bucket].T * ml).sum(axis=0))
+    for k in range(60):
+        assert got[k]["log_prob"] == pytest.approx(log[g.doc == k].mean(), abs=1e-5) and got[k]["n_words"] == (g.doc == k).sum()
+        assert got[k]["perplexity"] == pytest.approx(math.exp(-got[k]["log_prob"]), rel=1e-4)
+    assert got[5]["perplexity"] < 1e8
+
+
 def test_em_raises_likelihood():
     r = np.random.default_rng(2)
     ml, bucket, n = r.random((4, 200)), r.integers(0, interpolation.BUCKETS, 200), r.integers(1, 5, 200)
