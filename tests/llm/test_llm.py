@@ -570,3 +570,25 @@ def test_pipeline_against_single_steps(spark, tmp_path):
     want = mixing.selection(left).groupBy("doc_id").count().toPandas()
     assert got.groupby("doc_id").size().to_dict() == dict(zip(want["doc_id"], want["count"]))
     assert got["lossless"].all()
+
+
+def test_distances_of_many_pairs_and_what_they_are_at_least():
+    r = random.Random(3)
+    lines = []
+    for _ in range(400):
+        a = [r.choice("abcdeé日 ") for _ in range(r.choice([1, 5, 30, 63, 64, 65, 100, 200, 500]))]
+        b = list(a)
+        for _ in range(r.randint(0, max(1, len(a) // 7))):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randint(0, 1)] = r.choice(["", "x", "é"])
+        lines += ["".join(a), "".join(b)]
+    code, off = fuzzylines.codes(*textops.buffers(pa.array(lines)))
+    assert np.diff(off).tolist() == [len(x) for x in lines]
+    i, size = np.arange(0, len(lines), 2), np.diff(off)
+    for share in (0.05, 0.1, 0.2):
+        most = np.floor(share * np.maximum(size[i], size[i + 1])).astype(np.int64)
+        want = [fuzzylines.distance(lines[x], lines[x + 1], int(m)) <= m for x, m in zip(i, most)]
+        assert fuzzylines.within(code, off, i, i + 1, most).tolist() == want and 0 < sum(want) < len(want)
+        for kinds, q in ((fuzzylines.LETTERS, 1), *fuzzylines.SIEVES):
+            p = fuzzylines.profiles(code, off, kinds, q)
+            assert not (np.array(want) & (fuzzylines.apart(p[i], p[i + 1], q) > most)).any()
