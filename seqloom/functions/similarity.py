@@ -54,7 +54,7 @@ def _pairing(w: list[list[float]], strict: bool) -> dict[int, int]:
             for at, values, shift in ((0, w[mover][:j], offset), (j + 1, w[mover][j + 1 :], 0)):
                 side, k = _best(values)
                 if k is not None:
-                    sides.append(((part * w[keeper][j] + side) / 2, keeper, mover, at + k + shift))
+                    sides.append((part * (w[keeper][j] + side) / 2, keeper, mover, at + k + shift))
         if not sides:
             continue
         best = max(s[0] for s in sides)

@@ -28,13 +28,21 @@ def wide(freq: DataFrame, parts: list[str]) -> DataFrame:
     return out.where(" + ".join(f"`{p}`" for p in parts) + " <> 0")
 
 
-def kftt(freq: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """(feature, part, k, f, t, n) of every feature and part, also where k is 0; sizes (part, t) if not those of the table itself."""
+#: The feature that stands for whole parts.
+OTHERS = "others"
+
+
+def kftt(freq: DataFrame, sizes: DataFrame | None = None, others: bool = False) -> DataFrame:
+    """(feature, part, k, f, t, n) of every feature and part, also where k is 0; sizes (part, t) of the whole parts, if they aren't those of the table itself; others: with a feature that is all of each part."""
     t = sizes if sizes is not None else freq.groupBy("part").agg(F.sum("k").alias("t"))
     t = t.crossJoin(t.agg(F.sum("t").alias("n")))
     f = freq.groupBy("feature").agg(F.sum("k").alias("f"))
     cells = f.crossJoin(F.broadcast(t)).join(freq.groupBy("feature", "part").agg(F.sum("k").alias("k")), ["feature", "part"], "left")
-    return cells.select("feature", "part", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.col("f").cast("long").alias("f"), F.col("t").cast("long").alias("t"), F.col("n").cast("long").alias("n"))
+    cells = cells.select("feature", "part", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.col("f").cast("long").alias("f"), F.col("t").cast("long").alias("t"), F.col("n").cast("long").alias("n"))
+    if others:
+        long = lambda c: F.col(c).cast("long")
+        cells = cells.unionByName(t.select(F.lit(OTHERS).alias("feature"), "part", long("t").alias("k"), long("n").alias("f"), long("t").alias("t"), long("n").alias("n")))
+    return cells
 
 
 _lg = np.vectorize(lgamma, otypes=[float])

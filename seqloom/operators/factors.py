@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.lineage import cut
+
 from .contingency import log_pmf
 
 #: Parts, whose square is decomposed on the driver.
@@ -24,7 +26,7 @@ MOST_PARTS = 4000
 def analysis(freq: DataFrame, axes: int = 2) -> dict[str, DataFrame]:
     """eig (axis, eigenvalue, percent), rows and cols (label, axis, coord, contrib) of (feature, part, k)."""
     spark = freq.sparkSession
-    cell = freq.groupBy("feature", "part").agg(F.sum("k").cast("double").alias("k")).where("k <> 0")
+    cell = cut(freq.groupBy("feature", "part").agg(F.sum("k").cast("double").alias("k")).where("k <> 0"))
     c = cell.groupBy("part").agg(F.sum("k").alias("c")).orderBy("part").limit(MOST_PARTS + 1).toPandas()
     if len(c) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} parts: group them first")

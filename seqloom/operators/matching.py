@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.lineage import cut
+
 
 def parse(query: str) -> list[list[tuple[str, str]]]:
     """Steps of ``[a="x" & b="y"][c="z"]``, each a list of (attribute, value); [] is any token."""
@@ -43,20 +45,38 @@ def matches(tokens: DataFrame, query: str, within: list[str], order: list[str],
     return hits.where(" and ".join(f"_at{i}" for i in range(len(steps)))).select(*tokens.columns)
 
 
-def match_patterns(patterns: DataFrame, token_items: DataFrame, gap_free: bool = True) -> DataFrame:
+#: Items of patterns that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ITEMS = 100_000
+
+
+def match_patterns(patterns: DataFrame, token_items: DataFrame, gap_min: int = 0, gap_max: int = 0) -> DataFrame:
     """(pattern_id, text_id, seq_id, start) of every match of every pattern, in one join on items.
 
     patterns: (pattern_id, pattern); token_items: (text_id, seq_id, pos, item_id).
-    A match is at neighbouring places of one sequence.
+    A match is in one sequence, at places with gap_min to gap_max others between
+    neighbours; of several that start at one place, one counts.
     """
-    steps = patterns.select("pattern_id", F.size(F.flatten("pattern")).alias("need"), F.posexplode("pattern").alias("step", "items")).select("pattern_id", "need", "step", F.explode("items").alias("item_id"))
-    met = token_items.distinct().join(steps, "item_id").select("pattern_id", "need", "text_id", "seq_id", (F.col("pos") - F.col("step")).alias("start"))
-    return met.groupBy("pattern_id", "need", "text_id", "seq_id", "start").agg(F.count(F.lit(1)).alias("n")).where("n = need").select("pattern_id", "text_id", "seq_id", "start")
-
-
-def coverage(patterns: DataFrame, token_items: DataFrame) -> DataFrame:
+    steps = patterns.select("pattern_id", F.size("pattern").alias("len"), F.posexplode("pattern").alias("step", "items")).select("pattern_id", "len", "step", F.explode(F.array_distinct("items")).alias("item_id"), F.size(F.array_distinct("items")).alias("need"))
+    small = F.broadcast(steps) if steps.count() <= BROADCAST_ITEMS else steps
+    met = token_items.select("text_id", "seq_id", "pos", "item_id").join(small, "item_id").distinct()
+    where = ["pattern_id", "text_id", "seq_id"]
+    if (gap_min, gap_max) == (0, 0):
+        total = patterns.select("pattern_id", F.aggregate("pattern", F.lit(0), lambda n, s: n + F.size(F.array_distinct(s))).alias("all"))
+        at = met.groupBy(*where, (F.col("pos") - F.col("step")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+        return at.join(total, "pattern_id").where(F.col("n") == F.col("all")).select(*where, "start")
+    hits = cut(met.groupBy(*where, "len", "step", "pos", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need").select(*where, "len", "step", "pos"))
+    now = hits.where("step = 0").select(*where, "len", F.col("pos").alias("start"), F.col("pos").alias("last"))
+    done = now.where("len = 1").select(*where, "start")
+    for k in range(1, patterns.agg(F.max(F.size("pattern"))).first()[0] or 0):
+        ahead = now.where(F.col("len") > k).withColumn("pos", F.explode(F.sequence(F.col("last") + 1 + gap_min, F.col("last") + 1 + gap_max)))
+        now = cut(ahead.join(hits.where(F.col("step") == k).drop("len"), [*where, "pos"]).select(*where, "len", "start", F.col("pos").alias("last")).distinct())
+        done = done.unionByName(now.where(F.col("len") == k + 1).select(*where, "start").distinct())
+    return done
+
+
+def coverage(patterns: DataFrame, token_items: DataFrame, gap_min: int = 0, gap_max: int = 0) -> DataFrame:
     """(pattern_id, coverage): sequences that a pattern matches in."""
-    return match_patterns(patterns, token_items).groupBy("pattern_id").agg(F.count_distinct("text_id", "seq_id").alias("coverage"))
+    return match_patterns(patterns, token_items, gap_min, gap_max).groupBy("pattern_id").agg(F.count_distinct("text_id", "seq_id").alias("coverage"))
 
 
 def top(counts: DataFrame, key: str, n: int, count: str = "n") -> DataFrame:

@@ -68,6 +68,22 @@ def conversation_turns(spark: SparkSession, d: str) -> DataFrame:
     return adapters.table(spark, d, "conversations").select("conv_id", "turn", "role", F.size(words).cast("long").alias("n_tokens"))
 
 
+@query(f"""WITH {TOK} SELECT doc_id, sent_id, pos, unnest(['lemma_"' || lemma || '"', 'pos_"' || upos || '"']) AS item FROM tok""")
+def token_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.token_items(_tok(spark, d), ["lemma", "pos"], BY)
+
+
+_GAPS = "FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3"
+
+
+@query(f"WITH {TOK} SELECT pattern_id, doc_id, count(*) AS k FROM (SELECT DISTINCT CASE WHEN b.lemma = 'the' THEN 0 ELSE 1 END AS pattern_id, a.doc_id, a.sent_id, a.pos {_GAPS} WHERE (a.lemma = 'of' AND b.lemma = 'the') OR (a.lemma = 'de' AND b.lemma = 'la')) GROUP BY ALL")
+def gapped_motifs_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    """Two motifs with up to two words between their steps."""
+    p = spark.createDataFrame([(0, [["of"], ["the"]]), (1, [["de"], ["la"]])], "pattern_id int, pattern array<array<string>>")
+    m = matching.match_patterns(p, _token_items(spark, d), 0, 2)
+    return m.groupBy("pattern_id", F.col("text_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("k"))
+
+
 @query(f"WITH {ORD} SELECT item, dense_rank() OVER (ORDER BY item)::INT AS item_id FROM (SELECT DISTINCT item FROM it)")
 def lexicon_items(spark: SparkSession, d: str) -> DataFrame:
     return mining.lexicon(adapters.order_items(spark, d))
@@ -299,23 +315,35 @@ def row_totals(spark: SparkSession, d: str) -> DataFrame:
     return contingency.totals(_lemma_freq(spark, d))
 
 
+_SIZES = "tt AS (SELECT source AS part, count(*) AS t, sum(count(*)) OVER () AS T0 FROM tok GROUP BY source), ff AS (SELECT feature, sum(k) AS f FROM freq GROUP BY feature), cells AS (SELECT ff.feature, tt.part, coalesce(freq.k, 0)::BIGINT AS k, f::BIGINT AS f, t::BIGINT AS t, T0::BIGINT AS n FROM ff CROSS JOIN tt LEFT JOIN freq ON freq.feature = ff.feature AND freq.part = tt.part UNION ALL SELECT 'others', part, t::BIGINT, T0::BIGINT, t::BIGINT, T0::BIGINT FROM tt)"
 _KFTT = "tt AS (SELECT part, sum(k) AS t, sum(sum(k)) OVER () AS T0 FROM freq GROUP BY part), ff AS (SELECT feature, sum(k) AS f FROM freq GROUP BY feature), cells AS (SELECT ff.feature, tt.part, coalesce(freq.k, 0)::BIGINT AS k, f::BIGINT AS f, t::BIGINT AS t, T0::BIGINT AS n FROM ff CROSS JOIN tt LEFT JOIN freq ON freq.feature = ff.feature AND freq.part = tt.part)"
 
 
-@query(f"WITH {TOK}, {_LF}, {_KFTT} SELECT feature, part, k, f, t, n FROM cells")
+def _lemma_cells(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
+    """k, f, t, T of the most frequent lemmas; t and T are the sizes of the whole sources and of the whole corpus."""
+    t = cut(_n(_tok(spark, d), "lemma", "source"))
+    best = matching.top(t.groupBy("lemma").agg(F.sum("n").alias("n")), "lemma", n).select("lemma")
+    freq = t.join(F.broadcast(best), "lemma").select(F.col("lemma").alias("feature"), F.col("source").alias("part"), F.col("n").alias("k"))
+    return contingency.kftt(freq, t.groupBy(F.col("source").alias("part")).agg(F.sum("n").alias("t")), others=True)
+
+
+@query(f"WITH {TOK}, {_LF}, {_SIZES} SELECT feature, part, k, f, t, n FROM cells")
 def kftt_long(spark: SparkSession, d: str) -> DataFrame:
-    return contingency.kftt(_lemma_freq(spark, d))
+    return _lemma_cells(spark, d)
 
 
 _C = lambda n, r: f"(lgamma({n} + 1) - lgamma({r} + 1) - lgamma({n} - {r} + 1))"
-_PMF = f"exp({_C('f', 'x')} + {_C('(n - f)', '(t - x)')} - {_C('n', 't')})"
-_SPEC = f"""up AS (SELECT *, k >= floor((f + 1.0) * (t + 1.0) / (n + 2.0)) AS over_mode FROM cells),
-sc AS (SELECT feature, part, any_value(over_mode) AS o, log10(least(sum({_PMF}), 1)) AS p FROM up, LATERAL (SELECT unnest(CASE WHEN over_mode THEN range(k, least(f, t) + 1) ELSE range(greatest(0, f + t - n), k + 1) END) AS x) GROUP BY feature, part)"""
+_PMF = lambda x: f"({_C('f', x)} + {_C('(n - f)', f'(t - {x})')} - {_C('n', 't')})"
+_SPEC = f"""up AS (SELECT *, k >= floor((f + 1.0) * (t + 1.0) / (n + 2.0)) AS over_mode, {_PMF('k')} AS base FROM cells),
+sc AS (SELECT feature, part, any_value(over_mode) AS o, least((any_value(base) + ln(sum(exp({_PMF('x')} - base)))) / ln(10), 0) AS p FROM up, LATERAL (SELECT unnest(CASE WHEN over_mode THEN range(k, least(f, t) + 1) ELSE range(greatest(0, f + t - n), k + 1) END) AS x) GROUP BY feature, part)"""
 
 
-@query()
+_SCORE = "round(CASE WHEN o THEN -p ELSE p END, 4) + 0.0"
+
+
+@query(f"WITH {TOK}, {_LF}, {_SIZES}, {_SPEC} SELECT feature, part, {_SCORE} AS score FROM sc")
 def specificity_lemmas(spark: SparkSession, d: str) -> DataFrame:
-    return contingency.specificities(contingency.kftt(_lemma_freq(spark, d))).select("feature", "part", "score")
+    return contingency.specificities(_lemma_cells(spark, d)).select("feature", "part", "score")
 
 
 @query(f"WITH freq AS (SELECT role AS feature, CASE WHEN length(text) < 100 THEN 'short' WHEN length(text) < 300 THEN 'mid' ELSE 'long' END AS part, count(*) AS k FROM conversations GROUP BY ALL), {_KFTT}, {_SPEC} SELECT feature, part, round(CASE WHEN o THEN -p ELSE p END, 4) + 0.0 AS score FROM sc")
@@ -337,9 +365,9 @@ def triviality_filter(spark: SparkSession, d: str) -> DataFrame:
     return contingency.salient(_lemma_freq(spark, d).withColumnRenamed("k", "score"), 20)
 
 
-@query()
+@query(f"WITH {TOK}, {_LF}, {_SIZES}, {_SPEC} SELECT feature, max({_SCORE}) AS top FROM sc GROUP BY feature HAVING max({_SCORE}) > 2")
 def salient_lemmas(spark: SparkSession, d: str) -> DataFrame:
-    return contingency.salient(contingency.specificities(contingency.kftt(_lemma_freq(spark, d))), 2)
+    return contingency.salient(contingency.specificities(_lemma_cells(spark, d)), 2)
 
 
 @query(f"WITH {ORD}, s AS (SELECT seq_id, pos, list(DISTINCT item) AS items FROM it GROUP BY seq_id, pos) SELECT a.seq_id, a.pos, round(2.0 * len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items)), 6) AS dice FROM s a JOIN s b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1")
@@ -442,8 +470,15 @@ def representatives(spark: SparkSession, d: str) -> DataFrame:
     found, _, seq = _order_patterns(spark, d)
     p = clustering.ordered(found)
     c, center = clustering.clustered(p)
-    cover = matching.coverage(p.select("pattern_id", "pattern"), seq.select(F.lit(0).alias("text_id"), "seq_id", "pos", "item_id"))
-    return clustering.all_representatives(p, c, center, p.select("pattern_id", F.col("support").cast("double").alias("weight")), cover.select("pattern_id", F.col("coverage").cast("double").alias("weight")))
+    tokens = seq.select(F.lit(0).alias("text_id"), "seq_id", "pos", "item_id")
+    held = cut(matching.match_patterns(p.select("pattern_id", "pattern"), tokens).select("pattern_id", "seq_id").distinct())
+    cover = held.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("coverage"))
+    # growth of one half of the customers against the other
+    half = lambda df, g: df.where(F.pmod("seq_id", F.lit(2)) == g)
+    n = [half(seq, g).agg(F.count_distinct("seq_id")).first()[0] for g in (0, 1)]
+    some = [half(held, g).groupBy(F.col("pattern_id").alias("pattern")).agg(F.count(F.lit(1)).alias("support")) for g in (0, 1)]
+    growth = mining.growth_rate(*some, *n)
+    return clustering.all_representatives(p, c, center, growth.select(F.col("pattern").alias("pattern_id"), F.col("growth").alias("weight")), cover.select("pattern_id", F.col("coverage").cast("double").alias("weight")))
 
 
 @query(f"WITH {EVT}, h AS (SELECT *, seq_id % 2 AS g FROM ev), s AS (SELECT item, count(DISTINCT seq_id) FILTER (g = 0) AS freq_1, count(DISTINCT seq_id) FILTER (g = 1) AS freq_2 FROM h GROUP BY item), c AS (SELECT count(DISTINCT seq_id) FILTER (g = 0) AS n1, count(DISTINCT seq_id) FILTER (g = 1) AS n2 FROM h) SELECT item, freq_1, freq_2, round((freq_1::DOUBLE / n1) / (freq_2::DOUBLE / n2), 6) AS growth FROM s, c WHERE freq_1 > 0 AND freq_2 > 0")

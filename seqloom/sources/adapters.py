@@ -32,6 +32,21 @@ def tokens(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "sent_id", (F.col("p") + 1).cast("long").alias("pos"), "lemma", pos_class(F.col("lemma")).alias("upos"))
 
 
+#: Kinds of items of a token, and the columns they come from.
+KINDS = {"form": "form", "lemma": "lemma", "pos": "upos", "dep": "deprel"}
+
+
+def token_items(tokens: DataFrame, kinds: list[str], seq: list[str]) -> DataFrame:
+    """(*seq, pos, item) of tokens, an itemset a token: form_"x", lemma_"x", pos_"X", dep_"x" and, of the map ``feats``, feats_K=V; any other kind is a column of that name. Null and empty values make no item."""
+    quoted = lambda k, c: F.when(F.col(c) != "", F.concat(F.lit(f'{k}_"'), F.col(c), F.lit('"')))
+    one = F.array(*[quoted(k, KINDS.get(k, k)) for k in kinds if k != "feats"]).cast("array<string>")
+    items = F.filter(one, lambda x: x.isNotNull())
+    if "feats" in kinds:
+        feats = F.transform(F.map_entries(F.col("feats")), lambda e: F.concat(F.lit("feats_"), e["key"], F.lit("="), e["value"]))
+        items = F.concat(items, F.filter(F.coalesce(feats, F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    return tokens.select(*seq, "pos", F.explode(F.array_distinct(items)).alias("item"))
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, pos, item): customers' orders in time, items of each order's lines."""
     o, l, p = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part"))

@@ -46,6 +46,25 @@ def conllu(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def renumbered(tokens: DataFrame) -> DataFrame:
+    """Tokens whose sentences are numbered from 1 through all texts, in the order of (text_id, sent_id); only a count a text is ordered as a whole."""
+    sent = tokens.select("text_id", "sent_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("text_id").orderBy("sent_id")))
+    size = sent.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
+    before = size.select("text_id", F.coalesce(F.sum("n").over(Window.orderBy("text_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = sent.join(before, "text_id").select("text_id", "sent_id", (F.col("before") + F.col("r")).alias("number"))
+    return tokens.join(number, ["text_id", "sent_id"]).withColumn("sent_id", F.col("number")).drop("number")
+
+
+def write_conllu(tokens: DataFrame, path: str) -> None:
+    """CoNLL-U text of conllu()'s tokens, an empty line after each sentence and a text a file row; null is "_"."""
+    kv = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(F.col(c))), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    cells = ["pos", "form", "lemma", "upos", "xpos", kv("feats"), "head", "deprel", "deps", kv("misc")]
+    line = F.concat_ws("\t", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("_")) for c in cells])
+    sents = tokens.groupBy("text_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("t"))
+    body = F.concat(F.array_join(F.col("t.l"), "\n"), F.lit("\n"))
+    sents.select(F.col("text_id"), "sent_id", body.alias("value")).repartition("text_id").sortWithinPartitions("text_id", "sent_id").select("text_id", "value").write.partitionBy("text_id").mode("overwrite").text(path)
+
+
 def write_vrt(tokens: DataFrame, path: str) -> None:
     """Vertical text: <text>, <s> and a line of tab-separated cells a token; spaces in cells become "_"."""
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("_")), " ", "_")

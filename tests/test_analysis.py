@@ -23,6 +23,19 @@ def test_similarity_by_hand():
     assert similarity([[5], [1]], [[1], [2]]) == 0  # the first itemset has no partner
 
 
+def test_conflicts_of_similarity_by_hand():
+    from seqloom.functions.similarity import _pairing
+
+    # rows 0 and 1 both prefer column 0; only what lies after it is free
+    assert _pairing([[1.0, 0.2, 0.0], [0.9, 0.1, 0.6]], False) == {0: 0, 1: 2}  # (1 + 0.6) / 2 = 0.8 against (0.9 + 0.2) / 4
+    # the later row keeps its column at half of the whole score: (0.8 + 0.8) / 4 = 0.4, not (0.4 + 0.8) / 2 = 0.6
+    assert _pairing([[0.9, 0.8], [0.8 + 0.1, 0.2]], False) == {0: 0, 1: 1}  # (0.9 + 0.2) / 2 = 0.55 against (0.9 + 0.8) / 4 = 0.425
+    # and wins where the whole of it is greater: (1 + 0.9) / 4 = 0.475 against (0.9 + 0) / 2 = 0.45
+    assert _pairing([[0.9, 0.9], [1.0, 0.0]], False) == {0: 1, 1: 0}
+    # to the left, with the historical offset: the place of the mover counts from the rival
+    assert _pairing([[0.0, 0.9], [0.5, 0.8]], False) == {0: 1, 1: 0} and _pairing([[0.0, 0.9], [0.5, 0.8]], True) == {0: 1, 1: 2}
+
+
 def test_leaders_and_medoids(spark):
     p = clustering.ordered(spark.createDataFrame([([[1], [2]], 9), ([[1], [2], [3]], 8), ([[7], [8]], 7), ([[7], [8], [9]], 6)], "pattern array<array<int>>, support long"))
     sims = clustering.similarities(p)
@@ -72,6 +85,52 @@ def test_token_queries(spark):
     assert [r["pos"] for r in matching.matches(t, '[lemma="a"][lemma="."]', ["doc"], ["pos"]).collect()] == [1]
 
 
+@pytest.mark.parametrize("low,high", [(0, 0), (0, 2), (1, 2)])
+def test_patterns_with_gaps(spark, low, high):
+    import random
+
+    r = random.Random(low + high)
+    items = [(1, s, p, i) for s in range(12) for p in range(8) for i in r.sample("abcd", r.randint(0, 2))]
+    patterns = [[["a"]], [["a", "b"]], [["a"], ["b"]], [["a"], ["c", "d"], ["a"]], [["b"], ["b"], ["b"]]]
+    at = {}
+    for _, s, p, i in items:
+        at.setdefault((s, p), set()).add(i)
+    want = set()
+    for k, pattern in enumerate(patterns):
+        for s, p in at:
+            ends = [p] if set(pattern[0]) <= at[s, p] else []
+            for step in pattern[1:]:
+                ends = [e + 1 + g for e in ends for g in range(low, high + 1) if set(step) <= at.get((s, e + 1 + g), set())]
+            if ends:
+                want.add((k, s, p))
+    t = spark.createDataFrame(items + items[:3], "text_id int, seq_id int, pos int, item_id string")
+    got = matching.match_patterns(spark.createDataFrame(list(enumerate(patterns)), "pattern_id int, pattern array<array<string>>"), t, low, high)
+    assert sorted((x["pattern_id"], x["seq_id"], x["start"]) for x in got.collect()) == sorted(want) and len(want) > 10
+
+
+def test_cells_of_whole_parts(spark):
+    freq = spark.createDataFrame([("x", "a", 3), ("x", "b", 1), ("y", "a", 2)], "feature string, part string, k long")
+    sizes = spark.createDataFrame([("a", 50), ("b", 30)], "part string, t long")
+    cells = contingency.kftt(freq, sizes, others=True)
+    assert sorted(map(tuple, cells.collect())) == [("others", "a", 50, 80, 50, 80), ("others", "b", 30, 80, 30, 80), ("x", "a", 3, 4, 50, 80), ("x", "b", 1, 4, 30, 80), ("y", "a", 2, 2, 50, 80), ("y", "b", 0, 2, 30, 80)]
+    assert {r["score"] for r in contingency.specificities(cells).where("feature = 'others'").collect()} == {0.0}
+
+
+def test_items_of_token_files(spark, tmp_path):
+    from seqloom.sources import adapters
+
+    text = "1\tA\ta\tDET\tDT\tDefinite=Ind|PronType=Art\t2\tdet\t_\tner=O\n2\tcat\t_\tNOUN\t_\t57\t0\troot\t_\t_\n1\tOk\tok\tX\t_\t_\t0\troot\t_\t_\n"
+    for name in ("t1", "t2"):
+        (tmp_path / f"{name}.conllu").write_text(text)
+    tok = files.renumbered(files.conllu(spark, str(tmp_path)))
+    assert sorted({(r["text_id"], r["sent_id"]) for r in tok.collect()}) == [("t1", 1), ("t1", 2), ("t2", 3), ("t2", 4)]
+    got = adapters.token_items(tok, ["form", "lemma", "pos", "dep", "feats"], ["sent_id"]).where("sent_id = 3").orderBy("pos", "item").collect()
+    assert [(r["pos"], r["item"]) for r in got] == [(1, x) for x in ('dep_"det"', "feats_Definite=Ind", "feats_PronType=Art", 'form_"A"', 'lemma_"a"', 'pos_"DET"')] + [(2, x) for x in ('dep_"root"', 'form_"cat"', 'pos_"NOUN"')]
+    files.write_conllu(files.conllu(spark, str(tmp_path)), str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out" / "text_id=t1"), wholetext=True).first()["value"]
+    assert back.replace("\n\n", "\n") == text.replace("\t57\t", "\t_\t") + ("" if back.endswith("\n") else "")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t1.conllu").write_text("# c\n1\tA\ta\tDET\tDT\tDefinite=Ind|PronType=Art\t3\tdet\t7\tner=O\n1-2\tx\t_\t_\t_\t_\t_\t_\t_\t_\n2\t#tag\t\tNOUN\t_\t57\t0\troot\t_\t_\n\n1\tnull\tnone\tX\t_\t_\t0\troot\t_\t_\n")
     got = [r.asDict() for r in files.conllu(spark, str(tmp_path)).orderBy("sent_id", "pos").collect()]
