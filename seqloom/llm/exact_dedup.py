@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -32,8 +32,8 @@ def packed(docs: DataFrame) -> dict[str, Column]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text and whether the text may occur elsewhere."""
-    rows = store.chunked(docs, packed(docs))
+    """row, doc_id, text, its place (_sender, _number) and whether the text may occur elsewhere."""
+    rows = store.chunked(docs, packed(docs), numbered="_number")
     hashed = F.xxhash64("text")
     n = docs.count()
     bits, owners = max(48, X.bits_for(n)), X.owners_for(docs, n)
@@ -68,21 +68,25 @@ def _marked(docs: DataFrame) -> DataFrame:
     return rows.withColumn("twice", F.col("text").isNotNull() & suspected("_sender", hashed))
 
 
-def _verified(marked: DataFrame) -> DataFrame:
-    """Suspects with their place among equal texts; equality is that of the whole text."""
-    w = Window.partitionBy("text").orderBy(F.col("doc_id").asc_nulls_last())
-    return marked.where("twice").select("row", "doc_id", F.first("doc_id").over(w).alias("keep_id"), F.row_number().over(w).alias("place"))
+def _order() -> Column:
+    """What decides which of equal texts stays: the least doc_id, null last, then the place in the table."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_sender").alias("chunk"), F.col("_number").alias("at"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id) of each row that equals another that stays."""
-    return _verified(_marked(docs)).where("place > 1").select("doc_id", "keep_id")
+    """(doc_id, keep_id) of each row that equals another that stays; equality is that of the whole text."""
+    rows = _marked(docs).where("twice").select("doc_id", "text", "_sender", "_number")
+    # each task reduces its copies of a text first, so a text that a third of all rows have is a row a task
+    first = rows.groupBy("text").agg(F.min(_order()).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = rows.join(first, "text").where((F.col("_sender") != F.col("keep.chunk")) | (F.col("_number") != F.col("keep.at")))
+    return gone.select("doc_id", F.col("keep.id").alias("keep_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their columns."""
     marked = _marked(docs)
-    return marked.where("not twice").select("row.*").unionByName(_verified(marked).where("place = 1").select("row.*"))
+    first = marked.where("twice").groupBy("text").agg(F.min_by("row", _order()).alias("row"))
+    return marked.where("not twice").select("row.*").unionByName(first.select("row.*"))
 
 
 SQL = """
