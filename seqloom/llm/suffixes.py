@@ -1,22 +1,25 @@
-"""Suffix-array dedup: blockwise construction with a difference cover.
+"""Suffix-array dedup, as far as it is built: blocks of windows, sieved by a difference cover.
 
 The suffixes are those at every word of every text. {0, 1, 3} covers all
 differences modulo 7, so for any two suffixes there is a step below 7 after
 which both are at sample places (those whose number is 0, 1 or 3 modulo 7).
 
-1. Sample: windows of ``LENGTH - 6`` words at sample places are ranked by an
+1. Sample: windows of ``LENGTH - 6`` words at sample places are told apart by an
    exchange of coded hashes; a sample suffix whose window occurs once has no
    tie. Two suffixes that agree in LENGTH words agree, after the common step,
    in such a window, so a suffix with no tied sample place in its first seven
    words is alone and leaves the construction.
-2. Blocks: the others go to buckets by their first word, one bucket a task and
-   as many as keep a bucket small, so memory is bounded whatever the corpus. A
-   bucket is sorted by first word, by the hash of the first LENGTH words, and,
-   where suffixes agree that far, by the rank of their next sample suffix;
-   neighbours in that order that agree in LENGTH words are repeats.
-   (Words are ordered by hash: any fixed order of the alphabet serves.)
+2. Blocks: the others go to buckets by their first word, as many as keep a
+   bucket of common size small; a bucket is sorted by first word and by the hash
+   of the first LENGTH words; neighbours that agree in both are repeats.
 3. Buckets answer, to each chunk, the places that repeat; texts don't move.
 
+This is less than a suffix array: sample windows have hashes and not ranks, the
+order within a bucket is that of hashed blocks, suffixes that agree beyond
+LENGTH words are not told apart, and the suffixes of one very frequent first
+word, as far as they can repeat, are one bucket of one task. No passage is lost
+by it. A text may have up to 2**32 words.
+
 Results are defined as in countmin: passages of repeated windows of LENGTH
 words with the same rules for nulls, empty and short texts, ties, repeated rows
 and doc_ids.
@@ -43,7 +46,7 @@ COVER = (0, 1, 3)
 NEXT = np.array([next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
 #: Suffixes in a bucket, on average.
 PER_BUCKET = 1 << 20
-_PLACE = 24  # bits of a word's number in its text
+_PLACE = 32  # bits of a word's number in its text; its row's number in the file has the 31 above
 
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("sender", pa.int64()), *[(c, pa.binary()) for c in ("first", "window", "rank", "place", "ids")]])
 _ANSWER = pa.schema([("shard", pa.int32()), ("sender", pa.int64()), ("places", pa.binary()), ("redundant", pa.binary())])
