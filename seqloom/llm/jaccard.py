@@ -54,7 +54,7 @@ BLOCK = 1024
 #: Pairs (home, set) that a task holds, to drop repeated ones before they are shuffled.
 SEEN = 1 << 20
 #: Cells of a 0/1 matrix at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 _ENTRY = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])

@@ -41,7 +41,7 @@ LEAST = 0.5
 #: Bytes of a text in one run, and of what goes before.
 SPAN = 1024
 CONTEXT = 64
-LANES = 512
+LANES = 256
 
 
 #: The labels of a network that had nothing to learn from.
@@ -259,7 +259,8 @@ def _labelled(docs: DataFrame, net: Net) -> DataFrame:
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("prob", pa.float64()), ("share", pa.float64())]))
 
     rows = docs.select(*[c.alias(n) for n, c in packed(docs).items()])
-    return rows.select("row", "doc_id", label("text").alias("found"))
+    # said to be nondeterministic, so that a filter on the result isn't moved before it, which would read every text twice
+    return rows.select("row", "doc_id", label.asNondeterministic()("text").alias("found"))
 
 
 def identify(docs: DataFrame, net: Net | None = None, least: float = LEAST) -> DataFrame:

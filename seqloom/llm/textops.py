@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 #: Bytes handled at once; longer texts go alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
