@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import countmin, euclid, exact_dedup, exchange, fuzzylines, golomb, interpolation, jaccard, langid, mixing, pieces, suffixes, textops
+from seqloom.llm import countmin, euclid, exact_dedup, exchange, fuzzylines, golomb, interpolation, jaccard, langid, mixing, pieces, store, suffixes, textops
 from seqloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _sender string, row int, h double, _metadata string"
@@ -592,3 +593,34 @@ def test_distances_of_many_pairs_and_what_they_are_at_least():
         for kinds, q in ((fuzzylines.LETTERS, 1), *fuzzylines.SIEVES):
             p = fuzzylines.profiles(code, off, kinds, q)
             assert not (np.array(want) & (fuzzylines.apart(p[i], p[i + 1], q) > most)).any()
+
+
+def test_fuzzy_lines_long_lists_meet_by_parities():
+    t, r = fuzzylines.SIMILARITY, random.Random(23)
+    long = ["".join(r.choice("etaoinshrdlu ") for _ in range(400)) for _ in range(6)]
+    mixed = ["".join(r.sample(x, len(x))) for x in long]  # the same letters, other grams
+    near = [x[:50] + "zq" + x[52:300] + x[303:] for x in long]
+    lines = pa.array([x for p in zip(long, near, mixed) for x in p])
+    code, off = fuzzylines.codes(*textops.buffers(lines))
+    size, odd, p = np.diff(off), fuzzylines.parities(code, off), fuzzylines.profiles(code, off, fuzzylines.LETTERS).view(np.int64)
+    assert odd.shape == (18, fuzzylines.SIEVES[-1][0] // 64)
+    for i in range(0, 18, 3):
+        d = fuzzylines.distance(lines[i].as_py(), lines[i + 1].as_py(), 40)
+        assert fuzzylines.odds(odd[i : i + 1], odd[i + 1 : i + 2])[0] <= d <= 40 < fuzzylines.odds(odd[i : i + 1], odd[i + 2 : i + 3])[0]
+    order = np.argsort(size, kind="stable")
+    bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * odd.shape[1]), 18, [None, pa.py_buffer(odd[order])]).cast(pa.binary())
+    cols = [np.zeros(18, np.int64), np.arange(18)[order], size[order].astype(np.int32), p[order, 0], p[order, 1], np.arange(18)[order]]
+    rows = pa.RecordBatch.from_arrays([*map(pa.array, cols), bits], names=["key", "h", "size", "p0", "p1", "g", "odd"])
+    for batches in ([rows], [rows.slice(0, 5), rows.slice(5)]):
+        got = pa.Table.from_batches(list(fuzzylines._meeting(t, False)(iter(batches))))
+        assert {*zip(got["a"].to_pylist(), got["b"].to_pylist())} == {(i, i + 1) for i in range(0, 18, 3)}
+
+
+def test_fuzzy_lines_leave_no_tables_of_candidates(spark):
+    r = random.Random(29)
+    base = words(900, 30)
+    rows = [(i, " ".join(base[:10] + [r.choice(base) for _ in range(12)] + base[10:] if i % 2 else words(1000 + i, 20))) for i in range(60)]
+    left = lambda: {x.name for x in Path(store.shared_dir(spark).removeprefix("file://"), "seqloom").glob("*")}
+    before = left() if Path(store.shared_dir(spark).removeprefix("file://"), "seqloom").exists() else set()
+    fuzzylines.repeats(table(spark, rows)).collect()
+    assert not {x.split("-")[0] for x in left() - before} & {"met", "pairs", "places", "wanted", "placed", "again", "sieved", "more"}
