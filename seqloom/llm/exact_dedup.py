@@ -64,6 +64,8 @@ def _marked(docs: DataFrame) -> DataFrame:
                 at = ids == s
                 out[at] = known[s].find(h[at])[0]
             yield pa.array(out)
+        known.clear()
+        store.trim()
 
     return rows.withColumn("twice", F.col("text").isNotNull() & suspected("_sender", hashed))
 

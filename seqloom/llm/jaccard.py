@@ -201,6 +201,8 @@ def _homes(entries: DataFrame, t: float) -> DataFrame:
             seen.append(met(*held))
         if seen:
             yield emit(seen)
+        held, seen = None, []
+        store.trim()
 
     lists = entries.repartition("gram").sortWithinPartitions("gram", "size", "pos")
     return lists.mapInArrow(led, "home long, node long").distinct()
@@ -299,6 +301,8 @@ def _found(homes: DataFrame, nodes: DataFrame, n: int, t: float) -> DataFrame:
             held.append(table.slice(cut))
         if held:
             yield emit(pa.concat_tables(held))
+        held.clear()
+        store.trim()
 
     ready = rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
     return store.stored(ready.mapInArrow(verify, "a long, b long, n long"), "similar")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textops
+from . import store, textops
 from .exact_dedup import packed
 
 HIDDEN = 8
@@ -257,6 +257,7 @@ def _labelled(docs: DataFrame, net: Net) -> DataFrame:
                     )
                 )
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("prob", pa.float64()), ("share", pa.float64())]))
+        store.trim()
 
     rows = docs.select(*[c.alias(n) for n, c in packed(docs).items()])
     # said to be nondeterministic, so that a filter on the result isn't moved before it, which would read every text twice

@@ -5,6 +5,8 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -624,3 +626,21 @@ def test_fuzzy_lines_leave_no_tables_of_candidates(spark):
     before = left() if Path(store.shared_dir(spark).removeprefix("file://"), "seqloom").exists() else set()
     fuzzylines.repeats(table(spark, rows)).collect()
     assert not {x.split("-")[0] for x in left() - before} & {"met", "pairs", "places", "wanted", "placed", "again", "sieved", "more"}
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task():
+    code = """if True:
+        import numpy as np, pyarrow as pa
+        from seqloom.llm import store
+        rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+        batch = pa.RecordBatch.from_pydict({"_sender": pa.array([1, 1, 2], pa.int64())})
+        chunks = store.by_sender(iter([batch]))
+        got = [next(chunks)[0], next(chunks)[0]]
+        many = [np.ones(1000) for _ in range(10000)]
+        many = many[-1:]  # what is free lies below it
+        before = rss()
+        assert [*got, *chunks] == [1, 2]
+        print(before - rss())
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout) > 40e6
