@@ -618,6 +618,57 @@ def test_fuzzy_lines_long_lists_meet_by_parities():
         assert {*zip(got["a"].to_pylist(), got["b"].to_pylist())} == {(i, i + 1) for i in range(0, 18, 3)}
 
 
+def test_fuzzy_lines_have_grams_of_least_hash():
+    t, r = fuzzylines.SIMILARITY, random.Random(5)
+    passage = "".join(r.choice("etaoinshrdlu é") for _ in range(60))
+    lines = ["".join(r.choice("etaoinshrdlu é") for _ in range(n)) for n in (5, 9, 29, 70, 130, 170, 400, 5000)]
+    lines += [lines[6][:k] + passage + lines[7][k : k + 300] for k in (20, 90)] + ["ab" * 3000, "a" * 400 + lines[6][:30]]
+    data, off = textops.buffers(pa.array(lines))
+    size = np.array([len(x) for x in lines])
+    least, at = fuzzylines.gram_hashes(data, off, size, t)
+    low, high = fuzzylines.gram_classes(size, t)
+    seen = {}
+    for i, x in enumerate(lines):
+        raw, want = x.encode(), 0
+        for _, q, most in (fuzzylines.GRAMS[c].tolist() for c in {low[i], high[i]} if len(x) >= fuzzylines.SHORTEST):
+            want += min(most, len({raw[k : k + q] for k in range(len(raw) - q + 1)}))
+        assert at[i + 1] - at[i] == want  # all of a line's grams if it has few, though many are the same
+        for h, place in least[at[i] : at[i + 1]].tolist():
+            q = int(fuzzylines.GRAMS[(h >> fuzzylines.HASHED) - 1, 1])
+            if place < 1 << 32:
+                gram = x[place:].encode()[:q]
+                assert raw.count(gram) == 1 and seen.setdefault(h, gram) == gram
+    assert (least[at[10] : at[11], 1] == 1 << 32).all()
+    w = textops.words(pa.array(["a b a a", "", "b", "c c"]))
+    kinds, bounds = fuzzylines.kinds_of_words(w)
+    assert bounds.tolist() == [0, 2, 2, 3, 4] and len(set(kinds.tolist())) == 3 and kinds[2] in kinds[:2]
+
+
+def test_fuzzy_lines_that_share_a_gram_meet_where_its_places_allow_it():
+    n = 5
+    places = [0, 30, 45, 399, -1]
+    cols = [np.zeros(n, np.int64), np.arange(n), np.full(n, 400, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64), np.array(places, np.int32)]
+    packed = lambda use: exchange.squeeze(np.concatenate([c[use].view(np.uint8) for c in cols]))
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([0, 0], pa.int32()), "rows": pa.array([packed([4, 1]), packed([0, 3, 2])], pa.binary())})
+    rows = list(fuzzylines._unpacked(iter([batch])))
+    assert pa.Table.from_batches(rows)["h"].to_pylist() == [0, 1, 2, 3, 4]
+    got = pa.Table.from_batches(list(fuzzylines._meeting(fuzzylines.SIMILARITY, True)(iter(rows))))
+    assert {*zip(got["a"].to_pylist(), got["b"].to_pylist())} == {(1, 2)} | {(i, 4) for i in range(4)}
+    # the rests of two lines that a text is longer by count as well
+    x = np.array([10, 10, 10]), np.array([30, 30, 10]), np.array([380, 360, 360]), np.array([400, 400, 400])
+    assert fuzzylines.placed(*x, fuzzylines.SIMILARITY).tolist() == [True, True, True]
+    assert not fuzzylines.placed(np.array([30]), np.array([10]), np.array([379]), np.array([400]), fuzzylines.SIMILARITY)[0]
+
+
+def test_fuzzy_lines_groups_in_one_task_or_many(spark, monkeypatch):
+    r = random.Random(31)
+    edges = spark.createDataFrame([(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(7, 7)], "a long, b long").where("a <> b")
+    one = {tuple(x) for x in fuzzylines._grouped(edges).collect()}
+    monkeypatch.setattr(fuzzylines, "FEW", 0)
+    assert one == {tuple(x) for x in fuzzylines._grouped(edges).collect()} and len(one) > 100
+    assert fuzzylines._grouped(edges.limit(0)).count() == 0
+
+
 def test_fuzzy_lines_leave_no_tables_of_candidates(spark):
     r = random.Random(29)
     base = words(900, 30)
