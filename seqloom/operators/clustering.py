@@ -13,7 +13,6 @@ from seqloom.functions.similarity import similarity_udf
 from seqloom.plans.lineage import cut
 
 LEADER = 0.5
-CHUNK = 500
 
 
 def ordered(patterns: DataFrame) -> DataFrame:
@@ -53,26 +52,14 @@ def leaders(patterns: DataFrame, sims: DataFrame, threshold: float = LEADER) ->
     return done if done is not None else patterns.select("pattern_id", F.col("pattern_id").alias("leader"))
 
 
-def _central(members: DataFrame, sims: DataFrame, by: list[str]) -> DataFrame:
-    """The first member of least mean distance in each group, with ``score``; the mean is over all members, itself included."""
-    a, b = members.select(*by, F.col("pattern_id").alias("p")), members.select(*by, F.col("pattern_id").alias("q"))
-    pairs = a.join(b, by).where("p <> q").join(sims, ["p", "q"], "left")
-    far = pairs.groupBy(*by, "p").agg(F.sum(1 - F.coalesce("sim", F.lit(0.0))).alias("far"))
-    size = members.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    score = a.join(far, [*by, "p"], "left").join(size, by).withColumn("score", F.round(F.coalesce("far", F.lit(0.0)) / F.col("n"), 10))
-    w = Window.partitionBy(*by).orderBy("score", "p")
-    return score.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*by, F.col("p").alias("pattern_id"), "score")
-
-
-def medoids(clusters: DataFrame, sims: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(cluster, pattern_id, score) of (cluster, pattern_id); large clusters in chunks, whose medoids then compete."""
-    w = Window.partitionBy("cluster").orderBy("pattern_id")
-    m = clusters.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / chunk))
-    first = _central(m, sims, ["cluster", "chunk"])
-    many = first.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cluster")
-    single = first.join(many, "cluster", "left_anti").select("cluster", "pattern_id", "score")
-    again = _central(first.select("cluster", "pattern_id").join(many, "cluster", "left_semi"), sims, ["cluster"])
-    return single.unionByName(again)
+def medoids(clusters: DataFrame, sims: DataFrame) -> DataFrame:
+    """(cluster, pattern_id, score) of (cluster, pattern_id): the first member of least mean distance to all members, itself included, however many they are; pairs that sims lacks are at distance 1, and aren't made."""
+    a, b = clusters.select("cluster", F.col("pattern_id").alias("p")), clusters.select("cluster", F.col("pattern_id").alias("q"))
+    near = sims.where("p <> q").join(a, "p").join(b, ["cluster", "q"]).groupBy("cluster", "p").agg(F.sum("sim").alias("near"))
+    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    score = a.join(near, ["cluster", "p"], "left").join(size, "cluster").select("cluster", "p", F.round((F.col("n") - 1 - F.coalesce("near", F.lit(0.0))) / F.col("n"), 10).alias("score"))
+    best = score.groupBy("cluster").agg(F.min(F.struct("score", "p")).alias("m"))
+    return best.select("cluster", F.col("m.p").alias("pattern_id"), F.col("m.score").alias("score"))
 
 
 def reassigned(patterns: DataFrame, medoid: DataFrame, sims: DataFrame) -> DataFrame:

@@ -53,6 +53,15 @@ def test_leaders_and_medoids(spark):
     assert members.count() == 4 and center.count() == len({r["cluster"] for r in members.collect()})
 
 
+def test_medoids_of_a_large_cluster(spark):
+    """The mean is over all 601 members: 7 is near those that others know nothing of."""
+    pairs = [(7, q, 0.9) for q in range(501, 602)] + [(3, q, 0.5) for q in range(1, 120) if q != 3] + [(550, q, 0.8) for q in range(502, 549)] + [(9, 9, 1.0)]
+    sims = spark.createDataFrame(pairs, "p long, q long, sim double")
+    clusters = spark.createDataFrame([(1, i) for i in range(1, 602)] + [(2, 900), (2, 901)], "cluster long, pattern_id long")
+    got = {r["cluster"]: (r["pattern_id"], r["score"]) for r in clustering.medoids(clusters, sims).collect()}
+    assert got == {1: (7, pytest.approx((600 - 101 * 0.9) / 601, abs=1e-9)), 2: (900, 0.5)}
+
+
 def test_correspondence_analysis(spark):
     n = np.array([[10, 2, 3], [4, 20, 1], [5, 6, 30], [1, 1, 2]])
     freq = spark.createDataFrame([(f"f{i}", f"p{j}", int(n[i, j])) for i in range(4) for j in range(3)], "feature string, part string, k long")
