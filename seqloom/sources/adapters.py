@@ -49,6 +49,11 @@ def token_items(tokens: DataFrame, kinds: list[str], seq: list[str]) -> DataFram
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, pos, item): customers' orders in time, items of each order's lines."""
+    return order_lines(spark, sf_dir).distinct()
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_items() with a row for each line that has an item; orders are only put in order if pos is asked for."""
     o, l, p = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part"))
     from pyspark.sql import Window
 
@@ -56,8 +61,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = o.select("o_orderkey", F.col("o_custkey").alias("seq_id"), F.row_number().over(w).cast("long").alias("pos"))
     lines = l.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus").join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     items = F.array(F.concat(F.lit("brand_"), "p_brand"), F.concat(F.lit("rf_"), "l_returnflag"), F.concat(F.lit("ls_"), "l_linestatus"))
-    got = placed.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("seq_id", "pos", F.explode(items).alias("item"))
-    return got.distinct()
+    return placed.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("seq_id", "pos", F.explode(items).alias("item"))
 
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
