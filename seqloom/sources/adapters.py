@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files that a task of a join has, about.
+TASK_BYTES = 8_000_000
+
+
+def tasks(table: DataFrame) -> int | None:
+    """How many partitions keep a task of a join of the table as small as it is for small tables; None if Spark's own number does."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = -(-size // TASK_BYTES)
+    return n if n > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def pos_class(form: Column) -> Column:
     """A surrogate part of speech, of a form's length: no tagger is at hand."""
     n = F.length(form)
@@ -58,8 +69,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    placed = o.select("o_orderkey", F.col("o_custkey").alias("seq_id"), F.row_number().over(w).cast("long").alias("pos"))
-    lines = l.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus").join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    n = tasks(l)
+    by = lambda df, key: df.repartition(n, key) if n else df
+    placed = by(o.select("o_orderkey", F.col("o_custkey").alias("seq_id"), F.row_number().over(w).cast("long").alias("pos")), "o_orderkey")
+    lines = by(l.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus"), "l_partkey").join(by(p.select("p_partkey", "p_brand"), "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = by(lines.drop("l_partkey", "p_partkey"), "l_orderkey")
     items = F.array(F.concat(F.lit("brand_"), "p_brand"), F.concat(F.lit("rf_"), "l_returnflag"), F.concat(F.lit("ls_"), "l_linestatus"))
     return placed.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("seq_id", "pos", F.explode(items).alias("item"))
 
