@@ -21,6 +21,8 @@ from .contingency import log_pmf
 
 #: Parts, whose square is decomposed on the driver.
 MOST_PARTS = 4000
+#: Terms of a tail that are summed at a time.
+TERMS = 4096
 
 
 def analysis(freq: DataFrame, axes: int = 2) -> dict[str, DataFrame]:
@@ -137,11 +139,23 @@ def clusters_of(points: DataFrame, masses: DataFrame, k: int | None = None) -> D
 
 
 def v_test(k: int, f: int, t: int, T: int) -> float:
-    """Normal quantile of twice the lesser hypergeometric tail (with half the mass at k), positive above expectation."""
-    x = np.arange(max(0, f + t - T), min(f, t) + 1)
-    p = np.exp(log_pmf(x, np.full(len(x), f), np.full(len(x), t), np.full(len(x), T)))
-    at = p[x == k].sum() / 2
-    low, high = p[x < k].sum() + at, p[x > k].sum() + at
+    """Normal quantile of twice the lesser hypergeometric tail (with half the mass at k), positive above expectation.
+
+    The tail that leads away from the mode is summed from k outwards till terms
+    don't count, some standard deviations, however large f and t are; the other
+    is what is left of 1.
+    """
+    mass = float(np.exp(log_pmf(*(np.array([x], float) for x in (k, f, t, T)))[0]))
+    up = k >= (f + 1) * (t + 1) // (T + 2)
+    far, term, x = mass / 2, mass, k
+    end = min(f, t) if up else max(0, f + t - T)
+    while x != end and term > far * 1e-17:
+        y = np.arange(x, min(end, x + TERMS), dtype=float) if up else np.arange(x, max(end, x - TERMS), -1, dtype=float)
+        ratio = (f - y) * (t - y) / ((y + 1) * (T - f - t + y + 1)) if up else y * (T - f - t + y) / ((f - y + 1) * (t - y + 1))
+        terms = term * np.cumprod(ratio)
+        far, term, x = far + float(terms.sum()), float(terms[-1]), x + len(y) * (1 if up else -1)
+    far = min(far, 1.0)
+    low, high = (1 - far, far) if up else (far, 1 - far)
     tail = min(max(min(low, high), 1e-300), 0.5)
     return round(float(-NormalDist().inv_cdf(tail) * (1 if high < low else -1)), 6)
 

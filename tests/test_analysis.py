@@ -85,6 +85,27 @@ def test_hierarchical_clusters():
     assert factors.v_test(9, 10, 10, 100) > 2 > -2 > factors.v_test(0, 50, 20, 100)
 
 
+def test_v_test_takes_few_terms_however_large_the_table(monkeypatch):
+    from statistics import NormalDist
+
+    def whole(k, f, t, T):
+        p = {x: comb(f, x) * comb(T - f, t - x) / comb(T, t) for x in range(max(0, f + t - T), min(f, t) + 1)}
+        low, high = (sum(v for x, v in p.items() if (x - k) * s > 0) + p[k] / 2 for s in (-1, 1))
+        return -NormalDist().inv_cdf(min(max(min(low, high), 1e-300), 0.5)) * (1 if high < low else -1)
+
+    for f, t, T in [(5, 10, 100), (7, 30, 60), (40, 70, 90), (3, 3, 3), (200, 300, 900), (1, 1, 2)]:
+        for k in range(max(0, f + t - T), min(f, t) + 1):
+            assert abs(factors.v_test(k, f, t, T)) == pytest.approx(abs(whole(k, f, t, T)), abs=2e-6)
+            assert factors.v_test(k, f, t, T) * whole(k, f, t, T) > -1e-6
+    asked, pmf = [], factors.log_pmf
+    monkeypatch.setattr(factors, "log_pmf", lambda k, *x: asked.append(len(k)) or pmf(k, *x))
+    n = 10**9  # the normal law is near enough
+    sd = (n / 20 * (19 / 20) * (19 / 20) / 20) ** 0.5
+    for z in (-3, 0, 2, 5):
+        assert factors.v_test(n // 400 + round(z * sd), n // 20, n // 20, n) == pytest.approx(z, abs=5e-3)
+    assert sum(asked) <= 4
+
+
 def test_token_queries(spark):
     assert matching.parse('[lemma="a" & pos="N"][]') == [[("lemma", "a"), ("pos", "N")], []]
     assert matching.to_query('{lemma_"of",pos_"IN"} {feats_Number=Sing}') == '[lemma="of" & pos="IN"][feats_Number="Sing"]'
